@@ -22,6 +22,7 @@ from tidemill.functions.columns import col
 IN_ONE_TASK = 100_000
 ON_DRIVER = 100_000
 SKETCH = 10_000
+GAPS_PER_SCAN = 24
 
 
 def exact_quantiles(
@@ -124,7 +125,10 @@ def ranked_values(
         read = [g for g in gaps if g.inside <= on_driver]
         for name in dict.fromkeys(g.name for g in read):
             _read_values(df, [g for g in read if g.name == name], found[name])
-        gaps = _narrow(df, [g for g in gaps if g.inside > on_driver], found)
+        wide = [g for g in gaps if g.inside > on_driver]
+        gaps = []
+        for start in range(0, len(wide), GAPS_PER_SCAN):
+            gaps += _narrow(df, wide[start : start + GAPS_PER_SCAN], found)
     return found
 
 
@@ -146,8 +150,6 @@ def _read_values(df: DataFrame, gaps: list[_Gap], found: dict[int, float]) -> No
 
 
 def _narrow(df: DataFrame, gaps: list[_Gap], found: dict[str, dict[int, float]]) -> list[_Gap]:
-    if not gaps:
-        return []
     cell = [F.when(g.holds(), col(g.name).cast("double")) for g in gaps]
     row = df.agg(
         *[F.percentile_approx(cell[i], g.probs(), SKETCH).alias(f"m{i}") for i, g in enumerate(gaps)]

@@ -201,7 +201,7 @@ def _xgb_forest(p, f: Facts):
 
 
 def _linear_svm(strength: float, iterations: int, f: Facts):
-    return _many(C.LinearSVC(regParam=strength, maxIter=iterations, standardization=False, tol=1e-8), f)
+    return _many(C.LinearSVC(regParam=strength, maxIter=iterations, standardization=False, tol=1e-6), f)
 
 
 def _svm(p, f: Facts):

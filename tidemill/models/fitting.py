@@ -28,6 +28,7 @@ class FittedModel:
     params: dict[str, Any]
     features: list[str]
     classes: list[Any] | None
+    label_type: str = "double"
     spark_model: PipelineModel | None = None
     literals: dict[str, Any] | None = None
     train: DataFrame | None = None
@@ -65,7 +66,8 @@ class FittedModel:
 
     def _named(self, coded: DataFrame) -> DataFrame:
         """Class codes back to the label's own values."""
-        prediction = F.element_at(F.array(*[F.lit(c) for c in self.classes]), F.col("_code") + 1)
+        names = F.array(*[F.lit(c).cast(self.label_type) for c in self.classes])
+        prediction = F.element_at(names, F.col("_code") + 1)
         return coded.withColumn("prediction", prediction).drop("_code")
 
     def _neighbours(self, df: DataFrame) -> DataFrame:
@@ -86,7 +88,8 @@ class FittedModel:
         """Everything that is needed to score again, under one folder."""
         spark = SparkSession.getActiveSession()
         facts = {
-            k: getattr(self, k) for k in ("name", "task", "params", "features", "classes", "literals", "notes")
+            k: getattr(self, k)
+            for k in ("name", "task", "params", "features", "classes", "label_type", "literals", "notes")
         }
         line = spark.createDataFrame([(json.dumps(facts),)], "value string")
         line.coalesce(1).write.mode("overwrite").text(f"{path}/facts")
@@ -129,13 +132,15 @@ def fit_model(
     classes = _classes(df, label) if task == "classification" else None
     if classes is not None and len(classes) < 2:
         raise ValueError(f"the label {label!r} has fewer than 2 classes")
-    model = FittedModel(name, task, full, features, classes)
+    model = FittedModel(name, task, full, features, classes, dict(df.dtypes)[label])
     y = _code(label, classes)
     if name == "gaussian_nb_classifier":
         model.literals = bayes.fit_bayes(df, features, label, full["var_smoothing"])
         return model
     if name.startswith("knn"):
-        model.train = neighbours.train_table(df.withColumn("_y", y), features, "_y", key)
+        model.train = neighbours.train_table(
+            df.withColumn("_y", y), features, "_y", key, full["n_neighbors"]
+        )
         return model
     if name.startswith("adaboost"):
         seed = SEED if full["random_state"] is None else full["random_state"]

@@ -35,17 +35,24 @@ def feature_array(df: DataFrame, features: Sequence[str]):
     return F.array(*[col(f).cast("double") for f in features])
 
 
-def train_table(df: DataFrame, features: Sequence[str], label: str, key: Sequence[str]) -> DataFrame:
+def train_table(
+    df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], k: int
+) -> DataFrame:
+    """``_tx, _ty, _tid``. Without a key, equal rows are merged and at most ``k`` copies
+    kept: no more of them can ever be among the k nearest."""
+    rows = df.select(
+        feature_array(df, features).alias("_tx"), col(label).cast("double").alias("_ty"), *[col(c) for c in key]
+    )
+    if not key:
+        merged = rows.groupBy("_tx", "_ty").agg(F.count("*").alias("n"))
+        copies = F.sequence(F.lit(1).cast("bigint"), F.least("n", F.lit(k).cast("bigint")))
+        spread = merged.select("_tx", "_ty", F.explode(copies).alias("copy"))
+        return spread.select("_tx", "_ty", F.xxhash64("_tx", "_ty", "copy").alias("_tid"))
     if len(key) == 1 and isinstance(type_of(df, key[0]), T.IntegralType):
         identity = col(key[0]).cast("bigint")
     else:
-        order = [col(k).cast("string") for k in key] or [feature_array(df, features).cast("string")]
-        identity = F.xxhash64(*order)
-    return df.select(
-        feature_array(df, features).alias("_tx"),
-        col(label).cast("double").alias("_ty"),
-        identity.alias("_tid"),
-    )
+        identity = F.xxhash64(*[col(c).cast("string") for c in key])
+    return rows.select("_tx", "_ty", identity.alias("_tid"))
 
 
 def _distances(q: np.ndarray, t: np.ndarray, p: int) -> np.ndarray:
@@ -107,16 +114,20 @@ def nearest(
 
 
 def _with_broadcast(queries: DataFrame, train: DataFrame, k: int, p: int) -> DataFrame:
-    table = train.toPandas()  # bounded by the caller's check
+    table = train.toArrow()  # bounded by the caller's check
+    points = table.column("_tx").combine_chunks()
     packed = queries.sparkSession.sparkContext.broadcast(
-        (np.array(table["_tx"].tolist(), dtype=float), table["_ty"].to_numpy(), table["_tid"].to_numpy())
+        (
+            points.flatten().to_numpy(zero_copy_only=False).reshape(len(points), -1),
+            table.column("_ty").to_numpy(),
+            table.column("_tid").to_numpy(),
+        )
     )
 
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t, y, tid = packed.value
         for batch in batches:
-            q = np.array(batch.tolist(), dtype=float)
-            found = list(_best(q, t, y, tid, k, p)) if len(q) else []
+            found = list(_best(np.stack(batch.to_numpy()), t, y, tid, k, p)) if len(batch) else []
             yield pd.Series([[{"d": d, "id": i, "y": v} for d, i, v in row] for row in found], dtype=object)
 
     annotations = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
@@ -137,8 +148,7 @@ def _with_blocks(queries: DataFrame, train: DataFrame, k: int, p: int, train_row
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(a) == 0 or len(b) == 0:
             return pd.DataFrame({"_q": [], "_near": []})
-        t = np.array(b["_tx"].tolist(), dtype=float)
-        q = np.array(a["_q"].tolist(), dtype=float)
+        t, q = np.stack(b["_tx"].to_numpy()), np.stack(a["_q"].to_numpy())
         found = _best(q, t, b["_ty"].to_numpy(), b["_tid"].to_numpy(), k, p)
         near = [[{"d": d, "id": i, "y": v} for d, i, v in row] for row in found]
         return pd.DataFrame({"_q": a["_q"], "_near": near})
