@@ -197,6 +197,8 @@ def _fit_spark(df: DataFrame, estimator, features: Sequence[str], y: Column) ->
         "probabilityCol": "_probability",
         "rawPredictionCol": "_raw",
     }
+    if estimator.hasParam("classifier"):  # one against the rest reads its parts' raw scores
+        estimator.getClassifier().setRawPredictionCol("_raw")
     settings = {estimator.getParam(n): c for n, c in columns.items() if estimator.hasParam(n)}
     rows = assembler.transform(
         df.select(*[col(f).cast("double").alias(f) for f in features], y.alias("_y"))
