@@ -25,7 +25,7 @@ def numbers():
 def table(spark, numbers):
     x, y, g, h = numbers
     rows = [(i, *map(float, x[i]), float(y[i]), int(g[i]), int(h[i])) for i in range(len(y))]
-    return spark.createDataFrame(rows, "k int, a double, b double, c double, y double, g int, h int").cache()
+    return spark.createDataFrame(rows, "k int, a double, b double, c double, y double, g int, h int").coalesce(2).cache()
 
 
 def _coefficients(model):
@@ -132,7 +132,7 @@ CLASSIFIERS = {
     "decision_tree_classifier": {"criterion": "log_loss", "min_samples_split": 4.0},
     "adaboost_classifier": {"n_estimators": 12},
     "svm_classifier": {},
-    "sgd_classifier": {"loss": "hinge"},
+    "sgd_classifier": {"loss": "hinge", "max_iter": 10, "alpha": 0.01},
     "mlp_classifier": {"hidden_layer_sizes": "(6,)", "max_iter": 100, "random_state": 1},
     "xgb_rf_classifier": {"n_estimators": 8, "colsample_bynode": 0.7},
 }
@@ -162,9 +162,9 @@ def test_classifiers(table, spark, tmp_path, name):
         assert any("min_samples_split" in n for n in model.notes)
 
 
-@pytest.mark.parametrize("name", ["gradient_boosting_classifier", "svm_classifier", "adaboost_classifier"])
+@pytest.mark.parametrize("name", ["gradient_boosting_classifier", "sgd_classifier", "adaboost_classifier"])
 def test_three_classes(table, name):
-    params = {} if name.startswith("svm") else {"n_estimators": 4}
+    params = {"loss": "hinge", "max_iter": 4} if name.startswith("sgd") else {"n_estimators": 4}
     model = fit_model(table, name, "classification", X, "h", params)
     assert model.transform(table).where("h = prediction").count() / 240 > 0.6
 

@@ -133,6 +133,15 @@ def test_sample_of_one_row_repeated_often(spark):
     assert every.count() == 100
 
 
+def test_shuffle_without_key_spreads_copies(spark):
+    df = spark.range(900).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("v"))
+    out = [r["v"] for r in rows.shuffle(df).collect()]
+    assert sorted(out) == sorted(r["v"] for r in df.collect())
+    assert out == [r["v"] for r in rows.shuffle(df.repartition(5)).collect()]
+    places = [i for i, v in enumerate(out) if v == -1]
+    assert max(b - a for a, b in zip(places, places[1:])) < 40
+
+
 def test_head(sample):
     assert [r["age"] for r in rows.head(sample, 2, ["salary"]).collect()] == [25, 30]
     for n in (0, 501):
@@ -158,6 +167,6 @@ def test_repeat_rows_in_chunks(frame, monkeypatch):
     from tidemill.functions import ranking
 
     monkeypatch.setattr(ranking, "COPIES_PER_ROW", 10)
-    df = frame("a int, n bigint", [(1, 1), (2, 7), (3, 25), (4, 10)])
-    out = ranking.repeat_rows(df, F.col("n")).groupBy("a").count()
-    assert values(out, "a", "count") == [(1, 1), (2, 7), (3, 25), (4, 10)]
+    df = frame("a int, n bigint", [(1, 1), (2, 7), (3, 25), (4, 10), (5, 0)])
+    out = ranking.repeat_rows(df, F.col("n"), "i").groupBy("a").agg(F.count("*").alias("c"), F.sum("i").alias("s"))
+    assert values(out, "a", "c", "s") == [(1, 1, 1), (2, 7, 28), (3, 25, 325), (4, 10, 55)]

@@ -217,22 +217,29 @@ class HashOrder:
         return kept.select(*[col(c) for c in self.columns])
 
 
-def repeat_rows(df: DataFrame, times: Column) -> DataFrame:
-    """Each row ``times`` times. Rows repeated very often are first split into chunks
-    that are spread over the cluster, so no array and no task grows with the count."""
+def repeat_rows(df: DataFrame, times: Column, number: str | None = None) -> DataFrame:
+    """Each row ``times`` times, optionally with the number of the copy. Rows repeated
+    very often are first split into chunks that are spread over the cluster, so no array
+    and no task grows with the count."""
     cap = F.lit(COPIES_PER_ROW).cast("long")
+    one = F.lit(1).cast("long")
     counted = df.withColumn("_left", times.cast("long"))
-    few = counted.where(F.col("_left") <= cap).withColumn("_size", F.col("_left"))
+    few = counted.where((F.col("_left") > 0) & (F.col("_left") <= cap)).withColumns(
+        {"_start": F.lit(0).cast("long"), "_size": F.col("_left")}
+    )
     chunked = counted.where(F.col("_left") > cap).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_left") / cap)))
+        "_chunk", F.explode(F.sequence(one, F.ceil(F.col("_left") / cap)))
     )
     many = (
-        chunked.withColumn("_size", F.least(cap, F.col("_left") - (F.col("_chunk") - 1) * cap))
+        chunked.withColumn("_start", (F.col("_chunk") - 1) * cap)
+        .withColumn("_size", F.least(cap, F.col("_left") - F.col("_start")))
         .repartition("_chunk", *[col(c) for c in df.columns])
         .drop("_chunk")
     )
-    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_size")))
-    return few.unionByName(many).withColumn("_copy", each).drop("_left", "_size", "_copy")
+    each = few.unionByName(many).withColumn("_copy", F.explode(F.sequence(one, F.col("_size"))))
+    if number is not None:
+        each = each.withColumn(number, F.col("_start") + F.col("_copy"))
+    return each.drop("_left", "_start", "_size", "_copy")
 
 
 def _digits(cells: int) -> int:

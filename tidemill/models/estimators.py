@@ -201,14 +201,14 @@ def _xgb_forest(p, f: Facts):
 
 
 def _linear_svm(strength: float, iterations: int, f: Facts):
-    return _many(C.LinearSVC(regParam=strength, maxIter=iterations, standardization=False, tol=1e-6), f)
+    return _many(C.LinearSVC(regParam=strength, maxIter=iterations, standardization=False, tol=1e-4), f)
 
 
 def _svm(p, f: Facts):
     if p["kernel"] != "linear":
         raise InvalidParameterError(f"kernel {p['kernel']!r} has no distributed solver; use 'linear'")
     f.ignore(p, {"probability": False})
-    return _linear_svm(1.0 / (max(p["C"], 1e-12) * f.rows), 100, f)
+    return _linear_svm(1.0 / (max(p["C"], 1e-12) * f.rows), 50, f)
 
 
 # Fixed value: share of the absolute penalty in the mixed one.
@@ -226,7 +226,7 @@ def _sgd_classifier(p, f: Facts):
             tol=1e-8,
         )
     if p["loss"] == "hinge" and p["penalty"] == "l2":
-        return _linear_svm(p["alpha"], min(p["max_iter"], 200), f)
+        return _linear_svm(p["alpha"], min(p["max_iter"], 50), f)
     raise InvalidParameterError(f"loss {p['loss']!r} with penalty {p['penalty']!r} has no distributed solver")
 
 

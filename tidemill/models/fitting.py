@@ -17,6 +17,7 @@ from tidemill.functions.columns import col, require_columns
 from tidemill.models import adaboost, bayes, neighbours
 from tidemill.models.estimators import ESTIMATORS, NEEDS_LABEL_STD, SEED, Facts
 from tidemill.models.registry import check_params
+from tidemill.session import spread_small, use_checkpoints
 
 MAX_CLASSES = 1_000
 
@@ -144,7 +145,8 @@ def fit_model(
         return model
     if name.startswith("adaboost"):
         seed = SEED if full["random_state"] is None else full["random_state"]
-        rows = df.select(*[col(f).cast("double").alias(f) for f in features], y.alias("_y")).persist()
+        rows = df.select(*[col(f).cast("double").alias(f) for f in features], y.alias("_y"))
+        rows = spread_small(rows).persist()
         rounds, rate = full["n_estimators"], full["learning_rate"]
         try:
             if task == "classification":
@@ -197,10 +199,11 @@ def _fit_spark(df: DataFrame, estimator, features: Sequence[str], y: Column) ->
         "probabilityCol": "_probability",
         "rawPredictionCol": "_raw",
     }
+    if estimator.hasParam("checkpointInterval") or estimator.hasParam("classifier"):
+        use_checkpoints(df.sparkSession)
     if estimator.hasParam("classifier"):  # one against the rest reads its parts' raw scores
         estimator.getClassifier().setRawPredictionCol("_raw")
     settings = {estimator.getParam(n): c for n, c in columns.items() if estimator.hasParam(n)}
-    rows = assembler.transform(
-        df.select(*[col(f).cast("double").alias(f) for f in features], y.alias("_y"))
-    ).select("_features", "_y")
+    slim = spread_small(df.select(*[col(f).cast("double").alias(f) for f in features], y.alias("_y")))
+    rows = assembler.transform(slim).select("_features", "_y")
     return PipelineModel([assembler, estimator.fit(rows, settings)])

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions.columns import col, is_number, type_of
+from tidemill.session import spread_small
 
 BROADCAST_VALUES = 20_000_000
 QUERY_BLOCK = 20_000
@@ -107,7 +108,7 @@ def nearest(
         raise ValueError("the training table is empty")
     if size["n"] < k:
         raise ValueError(f"n_neighbors={k} is more than the {size['n']} training rows")
-    queries = df.withColumn("_q", feature_array(df, features))
+    queries = spread_small(df.withColumn("_q", feature_array(df, features)))
     if size["n"] * size["d"] <= broadcast_values:
         return _with_broadcast(queries, train, k, p)
     return _with_blocks(queries, train, k, p, size["n"])

@@ -36,41 +36,45 @@ def _family(kind: T.DataType) -> str | None:
     return kind.simpleString()
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
-    """``column, value, n`` of all non-missing values, one DataFrame per value type."""
+def value_counts(df: DataFrame, columns: Sequence[str]) -> list[tuple[list[str], DataFrame]]:
+    """``place, value, n`` of all non-missing values, one DataFrame per value type; with
+    the columns of that type, to which ``place`` points."""
     families: dict[str, list[str]] = {}
     for c in columns:
         families.setdefault(_family(type_of(df, c)), []).append(c)
-    out = {}
+    out = []
     for family, names in families.items():
-        def cell(name: str) -> Column:
-            value = col(name)
-            if family in ("bigint", "double", "string"):
-                value = value.cast(family)
-            return F.struct(F.lit(name).alias("column"), value.alias("value"))
-
-        if len(names) == 1:
-            pairs = df.select(F.lit(names[0]).alias("column"), cell(names[0])["value"].alias("value"))
-        else:
-            pairs = df.select(F.inline(F.array(*[cell(n) for n in names])))
-        out[family] = (
-            pairs.where(F.col("value").isNotNull())
-            .groupBy("column", "value")
-            .agg(F.count("*").alias("n"))
-        )
+        cells = []
+        for i, name in enumerate(names):
+            value = col(name).cast(family) if family in ("bigint", "double", "string") else col(name)
+            cells.append(F.struct(F.lit(i).alias("place"), value.alias("value")))
+        if len(cells) > 1:
+            pairs = df.select(F.inline(F.array(*cells)))
+        else:  # nothing to unpivot: a plain projection
+            pairs = df.select(F.lit(0).alias("place"), cells[0]["value"].alias("value"))
+        counts = pairs.where(F.col("value").isNotNull()).groupBy("place", "value")
+        out.append((names, counts.agg(F.count("*").alias("n"))))
     return out
 
 
-def _best(n: str = "n", value: str = "value") -> Column:
-    """Most frequent value of a group; the smallest one wins a tie."""
-    return F.min(F.struct((-F.col(n)).alias("n"), F.col(value).alias("value")))
+def _per_place(counts: DataFrame, aggregates: list[Column]) -> DataFrame:
+    """One row per column from an aggregate without grouping: each task reads its part of
+    the counts once and sorts nothing."""
+    wide = counts.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggregates)])
+    return wide.select(F.inline(F.array(*[F.col(f"a{i}") for i in range(len(aggregates))])))
+
+
+def _best(place: int) -> Column:
+    """Most frequent value of a column; the smallest one wins a tie."""
+    ranked = F.struct((-F.col("n")).alias("n"), F.col("value").alias("value"))
+    return F.min(F.when(F.col("place") == place, ranked))
 
 
 def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, Any]:
-    found: dict[str, Any] = dict.fromkeys(columns)
-    for counts in value_counts(df, columns).values():
-        for row in counts.groupBy("column").agg(_best().alias("b")).collect():
-            found[row["column"]] = row["b"]["value"]
+    found: dict[str, Any] = {}
+    for names, counts in value_counts(df, columns):
+        row = counts.agg(*[_best(i).alias(f"b{i}") for i in range(len(names))]).first()
+        found.update({c: row[f"b{i}"]["value"] if row[f"b{i}"] else None for i, c in enumerate(names)})
     return found
 
 
@@ -79,13 +83,13 @@ def distinct_values(
 ) -> dict[str, list[Any]]:
     """Sorted distinct values per column, refused beyond ``limit`` per column."""
     found: dict[str, list[Any]] = {c: [] for c in columns}
-    for counts in value_counts(df, columns).values():
-        rows = counts.select("column", "value").limit(limit * len(columns) + 1).collect()
+    for names, counts in value_counts(df, columns):
+        rows = counts.select("place", "value").limit(limit * len(names) + 1).collect()
         for row in rows:
-            found[row["column"]].append(row["value"])
-    wide = [c for c in columns if len(found[c]) > limit]
-    if wide or sum(map(len, found.values())) > limit * len(columns):
-        raise ValueError(f"more than {limit} different values in {wide or list(columns)}")
+            found[names[row["place"]]].append(row["value"])
+        wide = [c for c in names if len(found[c]) > limit]
+        if wide or len(rows) > limit * len(names):
+            raise ValueError(f"more than {limit} different values in {wide or names}")
     return {c: sorted(v) for c, v in found.items()}
 
 
@@ -118,21 +122,24 @@ def _counts_frame(df: DataFrame, approx: bool = False) -> DataFrame:
     if approx:
         return frame
     tops = _tops(df)
-    joined = frame.join(tops, "column", "left")
-    return joined.withColumn("unique", F.coalesce("unique", F.lit(0).cast("bigint")))
+    return frame.join(tops, "column", "left")
 
 
 def _tops(df: DataFrame) -> DataFrame:
-    """``column, unique, top, freq``: one row per column that has a value."""
+    """``column, unique, top, freq``: one row per column."""
     parts = []
-    for counts in value_counts(df, df.columns).values():
-        best = counts.groupBy("column").agg(F.count("*").alias("unique"), _best().alias("b"))
+    for names, counts in value_counts(df, df.columns):
+        rows = [
+            F.struct(
+                F.lit(c).alias("column"),
+                F.count_if(F.col("place") == i).alias("unique"),
+                _best(i).alias("b"),
+            )
+            for i, c in enumerate(names)
+        ]
         parts.append(
-            best.select(
-                "column",
-                "unique",
-                F.col("b.value").cast("string").alias("top"),
-                (-F.col("b.n")).alias("freq"),
+            _per_place(counts, rows).select(
+                "column", "unique", F.col("b.value").cast("string").alias("top"), (-F.col("b.n")).alias("freq")
             )
         )
     out = parts[0]

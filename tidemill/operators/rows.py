@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.columns import as_list, col, free_name, require_columns
 from tidemill.functions.predicate import build_filter
-from tidemill.functions.ranking import HashOrder, row_hash
+from tidemill.functions.ranking import HashOrder, repeat_rows, row_hash
 
 
 def drop_columns(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
@@ -88,12 +88,21 @@ def empty_columns(df: DataFrame, keep: Sequence[str] = ()) -> list[str]:
 def shuffle(
     df: DataFrame, random_state: int = 42, key: Sequence[str] | None = None
 ) -> DataFrame:
-    """A repeatable permutation: a range-partitioned sort by the row hash."""
-    names = list(key) if key is not None else df.columns
-    require_columns(df, names)
+    """A repeatable permutation: a range-partitioned sort by the row hash.
+
+    Without a key, equal rows are told apart by a copy number, so that a row repeated
+    very often is spread over the order (and over the tasks) instead of lying together.
+    """
     order = free_name(df, "_order")
-    ranked = df.withColumn(order, row_hash(names, random_state))
-    return ranked.orderBy(order, *[col(c) for c in names]).drop(order)
+    if key is not None:
+        require_columns(df, list(key))
+        ranked = df.withColumn(order, row_hash(list(key), random_state))
+        return ranked.orderBy(order, *[col(c) for c in key]).drop(order)
+    count, copy = free_name(df, "_count"), free_name(df, "_number")
+    merged = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias(count))
+    numbered = repeat_rows(merged, F.col(count), copy)
+    ranked = numbered.withColumn(order, row_hash([*df.columns, copy], random_state))
+    return ranked.orderBy(order, copy).select(*[col(c) for c in df.columns])
 
 
 def sample_rows(

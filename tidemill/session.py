@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tidemill", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,3 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="tidemill-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """A small table over all cores before it is read many times.
+
+    A table below one file split per core may sit in a single partition (one row group);
+    shuffling it once is cheap. Anything larger is already spread and left alone.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if split / 64 < size < split * cores else df
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Lets long-running learners cut their lineage in the shared folder, if there is one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named or context.master.startswith("local"):
+            context.setCheckpointDir(named or shared_dir(spark))
