@@ -117,6 +117,21 @@ def test_spec_faults(change):
         check_spec({**SPEC, **change})
 
 
+def test_scoring_keeps_every_row(people):
+    choosing = [
+        {"operation": "filter_rows", "expression": "age > 30"},
+        {"operation": "sample_rows", "n": 200},
+        {"operation": "shuffle"},
+    ]
+    spec = {**SPEC, "model_name": "svm_classifier", "params": {}, "operations": SPEC["operations"] + choosing}
+    done = run_experiment(people, spec)
+    assert sum(done.rows.values()) == 200
+    assert done.scorer.transform(people, ["k"]).count() == 600
+    # no probabilities, so no area under the curve
+    assert done.metrics.where("metric = 'roc_auc'").count() == 0
+    done.close()
+
+
 def test_explicit_null_is_kept():
     assert check_spec({**SPEC, "validation_size": None})["validation_size"] is None
     assert check_spec(SPEC)["validation_size"] == 0.1

@@ -112,6 +112,7 @@ def roc_auc(
 
 
 def _auc(rows: DataFrame) -> DataFrame:
+    rows = rows.where(F.col("s").isNotNull())
     probs = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
     marks = sorted(set(rows.agg(F.percentile_approx("s", probs, 1000).alias("m")).first()["m"] or []))
     merged = rows.groupBy("by", "s").agg(

@@ -31,12 +31,13 @@ class Operation:
     apply: Callable[..., DataFrame]
     ordered: bool = False  # takes the table's key columns
     streams: bool = True
+    selects: bool = False  # chooses or orders rows, and leaves their values alone
 
 
-def _plain(function: Callable, ordered: bool = False, streams: bool = True) -> Operation:
+def _plain(function: Callable, **traits: bool) -> Operation:
     """An operation with nothing to fit."""
     return Operation(
-        function, lambda df, **_: {}, lambda df, state, **args: function(df, **args), ordered, streams
+        function, lambda df, **_: {}, lambda df, state, **args: function(df, **args), **traits
     )
 
 
@@ -61,8 +62,8 @@ def _fit_transform(df, columns, transformation):
 OPERATIONS: dict[str, Operation] = {
     "drop_columns": _plain(rows.drop_columns),
     "rename_columns": _plain(rows.rename_columns),
-    "drop_duplicates": _plain(rows.drop_duplicates, ordered=True, streams=False),
-    "drop_missing_rows": _plain(rows.drop_missing_rows),
+    "drop_duplicates": _plain(rows.drop_duplicates, ordered=True, streams=False, selects=True),
+    "drop_missing_rows": _plain(rows.drop_missing_rows, selects=True),
     "fill_missing": Operation(
         missing.fill_missing,
         lambda df, **args: {"values": missing.fit_fill(df, **args)},
@@ -77,13 +78,14 @@ OPERATIONS: dict[str, Operation] = {
     ),
     "parse_dates": _plain(scalars.parse_dates),
     "clean_numeric": _plain(scalars.clean_numeric),
-    "filter_rows": _plain(rows.filter_rows),
-    "shuffle": _plain(rows.shuffle, ordered=True, streams=False),
-    "sample_rows": _plain(rows.sample_rows, ordered=True, streams=False),
+    "filter_rows": _plain(rows.filter_rows, selects=True),
+    "shuffle": _plain(rows.shuffle, ordered=True, streams=False, selects=True),
+    "sample_rows": _plain(rows.sample_rows, ordered=True, streams=False, selects=True),
     "remove_outliers": Operation(
         outliers.remove_outliers,
         _fit_bounds,
         lambda df, state, **_: outliers.apply_remove(df, state["bounds"]),
+        selects=True,
     ),
     "clip_outliers": Operation(
         outliers.clip_outliers,
@@ -127,12 +129,15 @@ class FittedChain:
 
     steps: list[dict[str, Any]]  # operation, args, state
 
-    def apply(self, df: DataFrame) -> DataFrame:
+    def apply(self, df: DataFrame, select_rows: bool = True) -> DataFrame:
+        """``select_rows=False`` skips the steps that only choose or order rows, so that
+        every row of ``df`` comes out."""
+        steps = [s for s in self.steps if select_rows or not OPERATIONS[s["operation"]].selects]
         if df.isStreaming:
-            fixed = [s["operation"] for s in self.steps if not OPERATIONS[s["operation"]].streams]
+            fixed = [s["operation"] for s in steps if not OPERATIONS[s["operation"]].streams]
             if fixed:
                 raise ValueError(f"these operations need a whole table: {fixed}")
-        for step in self.steps:
+        for step in steps:
             df = OPERATIONS[step["operation"]].apply(df, step["state"], **step["args"])
         return df
 

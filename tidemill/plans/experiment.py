@@ -92,7 +92,9 @@ class Scorer:
     model: FittedModel
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        prepared = self.prepare.apply(self.chain.apply(df), keep)
+        """One prediction for every row: filters, samples and the like shaped the training
+        table and are skipped, everything that changes values is repeated."""
+        prepared = self.prepare.apply(self.chain.apply(df, select_rows=False), keep)
         scored = self.model.transform(prepared)
         extra = [c for c in ("label", "prediction", "probability") if c in scored.columns]
         return scored.select(*[col(k) for k in keep], *extra)
@@ -127,6 +129,12 @@ class Experiment:
     train_time: float
     audit: DataFrame
     rows: dict[str, int] = field(default_factory=dict)
+    prepared: DataFrame | None = None  # cached; everything above reads it
+
+    def close(self) -> None:
+        """Frees the cached table."""
+        if self.prepared is not None:
+            self.prepared.unpersist()
 
     def confusion(self, part: str = "test") -> DataFrame:
         return confusion(self.scored.where(F.col("split") == part), "label", "prediction")
@@ -183,7 +191,7 @@ def run_experiment(df: DataFrame, spec: Mapping[str, Any]) -> Experiment:
             kept.append("probability")
         scored = scored.select(*kept)
         metrics = evaluate(scored, task, "label", "prediction", "split")
-        if "probability" in kept and model.name not in ("svm_classifier",):
+        if "probability" in kept:
             metrics = metrics.unionByName(_auc(scored, model.classes))
         counts = {r["split"]: r["count"] for r in ready.groupBy("split").count().collect()}
     finally:
@@ -199,6 +207,7 @@ def run_experiment(df: DataFrame, spec: Mapping[str, Any]) -> Experiment:
         spent,
         audit_tables(tables, full["operations"]),
         counts,
+        ready,
     )
     return result
 
