@@ -137,6 +137,36 @@ def adaboost_first_round(spark, sf):
     return model.transform(df).select(*LINEITEM_KEY, "prediction")
 
 
+@query(
+    "forest_of_one_tree",
+    f"""WITH {_STUMP} SELECT {_KEY}, CAST(CASE WHEN (CASE f WHEN 0 THEN l_quantity WHEN 1 THEN l_discount ELSE l_tax END) <= t THEN lv ELSE rv END AS BIGINT) AS prediction
+FROM labelled, b""",
+)
+def forest_of_one_tree(spark, sf):
+    """A forest of one tree over all rows and features is that tree."""
+    df = lineitem_y(spark, sf)
+    params = {"n_estimators": 1, "max_depth": 1, "max_features": None, "bootstrap": False}
+    model = fit_model(df, "random_forest_classifier", "classification", FEATURES, "y", params)
+    return model.transform(df).select(*LINEITEM_KEY, "prediction")
+
+
+@query(
+    "regression_stump",
+    f"""WITH long AS (SELECT 0 AS f, l_quantity AS x, l_extendedprice AS y FROM lineitem UNION ALL SELECT 1, l_discount, l_extendedprice FROM lineitem
+  UNION ALL SELECT 2, l_tax, l_extendedprice FROM lineitem),
+g AS (SELECT f, x, count(*)::DOUBLE AS n, sum(y) AS p FROM long GROUP BY 1, 2),
+c AS (SELECT f, (x + lead(x) OVER w) / 2 AS t, sum(n) OVER w AS nl, sum(p) OVER w AS pl, sum(n) OVER (PARTITION BY f) AS nt, sum(p) OVER (PARTITION BY f) AS pt FROM g WINDOW w AS (PARTITION BY f ORDER BY x)),
+b AS (SELECT f, t, pl / nl AS lv, (pt - pl) / (nt - nl) AS rv FROM c WHERE t IS NOT NULL
+  ORDER BY pl * pl / nl + (pt - pl) * (pt - pl) / (nt - nl) DESC LIMIT 1)
+SELECT {_KEY}, round(CASE WHEN (CASE f WHEN 0 THEN l_quantity WHEN 1 THEN l_discount ELSE l_tax END) <= t THEN lv ELSE rv END, 3) AS prediction FROM lineitem, b""",
+)
+def regression_stump(spark, sf):
+    li = table(spark, sf, "lineitem").select(*LINEITEM_KEY, *FEATURES, "l_extendedprice")
+    params = {"max_depth": 1, "max_features": None}
+    model = fit_model(li, "decision_tree_regressor", "regression", FEATURES, "l_extendedprice", params)
+    return model.transform(li).select(*LINEITEM_KEY, r("prediction", 3).alias("prediction"))
+
+
 # --- learners without a closed form: metrics per part ------------------------------------
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions.columns import col, free_name, require_columns
+from tidemill.session import spread_small
 
 LEAVES = 100_000
 CELLS = 131_072
@@ -57,18 +58,27 @@ class HashOrder:
             self.weight = free_name(df, "_copies")
             base = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias(self.weight))
         self.hash = free_name(df, "_hash")
-        self.df = base.withColumn(self.hash, row_hash(list(key) if key else df.columns, seed))
+        self.key = list(key) if key is not None else df.columns
+        self.seed = seed
+        self.base = base
+        self.df = base.withColumn(self.hash, row_hash(self.key, seed))
 
     def _counts(self, rows: DataFrame, by: list[str]) -> DataFrame:
         n = F.sum("_w") if not self.unique else F.count("*")
         return rows.groupBy(*by).agg(n.alias("_n"), F.count("*").alias("_d"))
 
     def _slim(self, group: str | None) -> DataFrame:
-        picked = [F.col(self.hash).alias("_h")]
-        picked.append((col(group).cast("string") if group else F.lit("")).alias("_g"))
+        """Hash, group and number of copies: all that counting needs to read."""
+        names = list(dict.fromkeys([*self.key, *([group] if group else [])]))
+        picked = [col(c) for c in names]
         if not self.unique:
             picked.append(F.col(self.weight).alias("_w"))
-        return self.df.select(*picked)
+        rows = spread_small(self.base.select(*picked))
+        out = [
+            row_hash(self.key, self.seed).alias("_h"),
+            (col(group).cast("string") if group else F.lit("")).alias("_g"),
+        ]
+        return rows.select(*out, *([] if self.unique else ["_w"]))
 
     def totals(self, group: str | None = None) -> dict[str | None, int]:
         """Rows per group. The same count, kept per hash prefix, is where ``marks`` starts."""

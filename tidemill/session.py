@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 
 def build_session(app: str = "tidemill", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,7 +51,11 @@ def spread_small(df: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if split / 64 < size < split * cores else df
+    if not split / 64 < size < split * cores:
+        return df
+    # by hash: dealing rows out in turn would first sort them, to be repeatable
+    names = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    return df.repartition(cores, *[F.col("`" + n.replace("`", "``") + "`") for n in names])
 
 
 def use_checkpoints(spark: SparkSession) -> None:
