@@ -23,6 +23,10 @@ def test_describe(gaps, sample):
     assert (out["city"]["top"], out["city"]["freq"], out["city"]["unique"]) == ("Oslo", 2, 3)
     assert out["city"]["mean"] is None and out["age"]["top"] is None
     assert _by(profile.describe(gaps))["b"]["count"] == 2
+    assert set(_by(profile.describe(gaps, "number"))) == {"a", "b"}
+    assert set(_by(profile.describe(gaps, "other"))) == {"c"}
+    with pytest.raises(ValueError, match="include"):
+        profile.describe(gaps, "nope")
 
 
 def test_column_stats(frame):

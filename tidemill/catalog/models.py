@@ -10,6 +10,7 @@ from tidemill.models.tuning import grid_search
 from tidemill.operators.metrics import evaluate
 from tidemill.operators.splits import split
 from tidemill.plans.experiment import run_experiment
+from tidemill.session import spread_small
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
 _KEY = ", ".join(LINEITEM_KEY)
@@ -180,7 +181,8 @@ def _fit_and_score(spark, sf, name, task="classification", params=None):
         part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
         df = table(spark, sf, "lineitem").join(part, "l_partkey")
         df = df.select(*LINEITEM_KEY, *used, label)
-    parted = split(df, label, 0.2, stratify=task == "classification", key=LINEITEM_KEY).persist()
+    parted = split(df, label, 0.2, stratify=task == "classification", key=LINEITEM_KEY)
+    parted = spread_small(parted).persist()
     model = fit_model(parted.where("split = 'train'"), name, task, used, label, params)
     scored = model.transform(parted)
     found = evaluate(scored, task, label, "prediction", "split")

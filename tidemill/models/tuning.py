@@ -18,6 +18,7 @@ from tidemill.models.fitting import FittedModel, fit_model
 from tidemill.models.registry import check_grid, check_params
 from tidemill.operators.metrics import class_metrics, regression_metrics
 from tidemill.operators.splits import assign_folds
+from tidemill.session import spread_small
 
 # Scorer name -> task, metric, sign (the best score is the largest one).
 SCORERS = {
@@ -65,9 +66,10 @@ def grid_search(
     if scorer not in SCORERS or SCORERS[scorer][0] != task:
         raise ValueError(f"Unknown scoring {scorer!r} for {task}. Available: {sorted(SCORERS)}")
     wanted = [*features, label, *[k for k in key or [] if k not in {*features, label}]]
-    rows = assign_folds(
+    folded = assign_folds(
         df.select(*[col(c) for c in wanted]), label, cv, task == "classification", random_state, key, "_fold"
-    ).persist()
+    )
+    rows = spread_small(folded).persist()
     combinations = [dict(zip(grid, values)) for values in product(*grid.values())]
 
     def one(job: tuple[int, int]) -> tuple[int, float, float]:

@@ -213,8 +213,16 @@ def _moments(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return _long(df, parts, "struct<column:string,mean:double,std:double,min:double,max:double>")
 
 
-def describe(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Count, distinct and top value for text; moments and quartiles for numbers."""
+def describe(df: DataFrame, include: str = "all", approx: bool = False) -> DataFrame:
+    """Count, distinct and top value for text; moments and quartiles for numbers.
+    ``include`` is ``all``, ``number`` or ``other``."""
+    if include not in ("all", "number", "other"):
+        raise ValueError("include must be 'all', 'number' or 'other'.")
+    if include != "all":
+        wanted = [c for c in df.columns if is_number(type_of(df, c)) == (include == "number")]
+        if not wanted:
+            raise ValueError(f"no column of kind {include!r}")
+        df = df.select(*[col(c) for c in wanted])
     numbers = [c for c in df.columns if is_number(type_of(df, c))]
     counts = _counts_frame(df)
     quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in numbers}, approx)
@@ -282,31 +290,29 @@ def preview(
     key: Sequence[str] | None = None,
     label: str = "",
 ) -> dict[str, Any]:
-    """The report on one table. Only report-sized results reach the driver."""
+    """The report on one table. Only report-sized results reach the driver, and each
+    part reads only the columns it needs; cache the table first if it is costly to make."""
     from tidemill.operators.rows import head
 
-    df = df.persist()
-    try:
-        chosen = guess_target(df, target)
-        counted = duplicates(df).first()
-        stats = {r["column"]: r.asDict() for r in column_stats(df).collect()}
-        classes = top_classes(df, chosen) if chosen else None
-        return {
-            "dataset": label,
-            "rows": counted["rows"],
-            "columns": df.columns,
-            "dtypes": dict(df.dtypes),
-            "missing": {c: stats[c]["missing"] for c in df.columns if stats[c]["missing"]},
-            "preview": [r.asDict() for r in head(df, n, key).collect()],
-            "duplicates": counted["duplicates"],
-            "columns_stats": [stats[c] for c in df.columns],
-            "class_distribution": None
-            if classes is None
-            else {str(r["value"]): r["pct"] for r in classes.collect()},
-            "target": chosen,
-        }
-    finally:
-        df.unpersist()
+    chosen = guess_target(df, target)
+    counted = duplicates(df).first()
+    stats = {r["column"]: r.asDict() for r in column_stats(df).collect()}
+    classes = top_classes(df, chosen) if chosen else None
+    shares = None
+    if classes is not None:
+        shares = {str(r["value"]): r["pct"] for r in classes.collect()}
+    return {
+        "dataset": label,
+        "rows": counted["rows"],
+        "columns": df.columns,
+        "dtypes": dict(df.dtypes),
+        "missing": {c: stats[c]["missing"] for c in df.columns if stats[c]["missing"]},
+        "preview": [r.asDict() for r in head(df, n, key).collect()],
+        "duplicates": counted["duplicates"],
+        "columns_stats": [stats[c] for c in df.columns],
+        "class_distribution": shares,
+        "target": chosen,
+    }
 
 
 def content_hash(df: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from tidemill.operators.rows import stride_sample
 from tidemill.operators.splits import split
 from tidemill.plans.chain import FittedChain, audit_tables, check_operations, fit_chain
 from tidemill.plans.prepare import PreparePlan, fit_prepare
+from tidemill.session import spread_small
 
 # The keys of a specification, their defaults, and the size limits.
 DEFAULTS: dict[str, Any] = {
@@ -154,11 +155,12 @@ def run_experiment(df: DataFrame, spec: Mapping[str, Any]) -> Experiment:
     table = tables[-1]
     stratify = bool(full["stratify"]) and task == "classification"
     sizes = (full["test_size"], full["validation_size"], full["random_state"])
-    parted = split(table, target, *sizes, stratify, key).persist()
+    parted = split(table, target, *sizes, stratify, key)
+    # only the prepared table is cached: it is read many times, and holds nothing else
     learned_on = parted if full["fit_on"] == "all" else parted.where(F.col("split") == "train")
+    plan = fit_prepare(learned_on.drop("split"), target, task, key or (), full["drop"])
+    ready = spread_small(plan.apply(parted, keep=[*(key or []), "split"])).persist()
     try:
-        plan = fit_prepare(learned_on.drop("split"), target, task, key or (), full["drop"])
-        ready = plan.apply(parted, keep=[*(key or []), "split"]).persist()
         train = ready.where(F.col("split") == "train").drop("split")
         start = time.perf_counter()
         best, summary = None, None
@@ -194,9 +196,10 @@ def run_experiment(df: DataFrame, spec: Mapping[str, Any]) -> Experiment:
         if "probability" in kept:
             metrics = metrics.unionByName(_auc(scored, model.classes))
         counts = {r["split"]: r["count"] for r in ready.groupBy("split").count().collect()}
-    finally:
-        parted.unpersist()
-    result = Experiment(
+    except Exception:
+        ready.unpersist()
+        raise
+    return Experiment(
         full,
         Scorer(chain, plan, model),
         scored,
@@ -209,7 +212,6 @@ def run_experiment(df: DataFrame, spec: Mapping[str, Any]) -> Experiment:
         counts,
         ready,
     )
-    return result
 
 
 def _auc(scored: DataFrame, classes: Sequence[Any]) -> DataFrame:
