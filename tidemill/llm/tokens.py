@@ -30,7 +30,8 @@ MAGIC = b"TMS8SEG1"
 HEADER = "<8sIQQQQQ"  # magic, task, ids before, documents, ids, blocks, words
 TEXT_BYTES = 1 << 22  # text that is tokenized at a time and makes a segment
 SEGMENTS_PER_FILE = 8
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000  # about 150 MB
+TOGETHER = 512  # blocks that are packed or unpacked at a time: their arrays stay in the cache
 
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
@@ -46,10 +47,18 @@ def bit_lengths(values: np.ndarray) -> np.ndarray:
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of the values, and the word offset of each block (one more than blocks)."""
+    words, offsets, upto = [np.zeros(0, np.uint64)], [np.zeros(1, np.uint64)], 0
+    for lo in range(0, len(values), TOGETHER * BLOCK):
+        some, where = _pack(values[lo : lo + TOGETHER * BLOCK])
+        words.append(some)
+        offsets.append(where[1:] + np.uint64(upto))
+        upto += len(some)
+    return np.concatenate(words), np.concatenate(offsets)
+
+
+def _pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     blocks = -(-n // BLOCK)
-    if not blocks:
-        return np.zeros(0, np.uint64), np.zeros(1, np.uint64)
     ids = np.zeros((blocks, BLOCK), np.uint64)
     ids.reshape(-1)[:n] = values
     wide = np.zeros((blocks, BLOCK + 120), np.uint64)  # what follows a block counts as zeros
@@ -103,8 +112,17 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` values; blocks are walked side by side from their offsets."""
+    out, at = np.zeros(n, np.uint64), offsets.astype(np.int64)
+    for lo in range(0, len(at) - 1, TOGETHER):
+        some = at[lo : lo + TOGETHER + 1]
+        here = out[lo * BLOCK : (lo + TOGETHER) * BLOCK]
+        here[:] = _unpack(words[some[0] : some[-1]], some - some[0])[: len(here)]
+    return out
+
+
+def _unpack(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((len(offsets) - 1, BLOCK + 120), np.uint64)
-    at, ends = offsets[:-1].astype(np.int64), offsets[1:].astype(np.int64)
+    at, ends = offsets[:-1].copy(), offsets[1:]
     filled, alive = np.zeros(len(at), np.int64), np.flatnonzero(at < ends)
     where, places, starts = [], [], []
     selectors = (words >> np.uint64(60)).astype(np.int64)
@@ -117,49 +135,71 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
         at[alive] += 1 + (s == 0)
         alive = alive[at[alive] < ends[alive]]
     if where:
+        flat = out.reshape(-1)
         block, place, start = np.concatenate(where), np.concatenate(places), np.concatenate(starts)
         chosen = selectors[place]
         for s in range(2, 16):
             mine = np.flatnonzero(chosen == s)
             mask = np.uint64((1 << int(WIDTHS[s])) - 1)
+            first, word = block[mine] * (BLOCK + 120) + start[mine], words[place[mine]]
             for k in range(COUNTS[s] if len(mine) else 0):
-                out[block[mine], start[mine] + k] = (words[place[mine]] >> np.uint64(k * WIDTHS[s])) & mask
+                flat[first + k] = (word >> np.uint64(k * WIDTHS[s])) & mask
         raw = np.flatnonzero(chosen == 0)
         out[block[raw], start[raw]] = words[place[raw] + 1]
-    return out[:, :BLOCK].reshape(-1)[:n]
+    return out[:, :BLOCK].reshape(-1)
 
 
 class WordIds:
     """Ids of words, remembered. The tokenizer drops white space, so that a text's ids are
-    those of its words one after the other; ASCII white space never joins two characters."""
+    those of its words one after the other; ASCII white space never joins two characters.
+
+    The first ``CACHED_WORDS`` different words stay, which in any natural text are nearly
+    all that come; what is beyond is tokenized each time.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
         self.slot: dict[str, int] = {}
         self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def slots(self, words: list[str]) -> np.ndarray:
-        """Place of each word: its ids are ``flat[begin[place]:begin[place + 1]]``."""
+    @staticmethod
+    def of_worker(path: str) -> WordIds:
+        """One for all tasks of a Python worker: it is kept by the tokenizer's library."""
+        import tokenizers
+
+        known = tokenizers.__dict__.setdefault("_word_ids", {})
+        if path not in known:
+            known[path] = WordIds(path)
+        return known[path]
+
+    def coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, and where each one's end."""
+        ids, ends = [], np.zeros(len(words), np.int64)
+        for lo in range(0, len(words), 4096):
+            for k, one in enumerate(self.tokenizer.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False)):
+                ids += one.ids
+                ends[lo + k] = len(ids)
+        return np.array(ids, np.uint32), ends
+
+    def slots(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, where they begin, and the place of each word: its ids are
+        ``ids[begin[place]:begin[place + 1]]``."""
         missing = [w for w in words if w not in self.slot]
-        if missing and len(self.slot) + len(missing) > CACHED_WORDS:
-            self.forget()
-            missing = words
-        ids, sizes = [], []
-        for lo in range(0, len(missing), 4096):
-            for coded in self.tokenizer.encode_batch_fast(missing[lo : lo + 4096], add_special_tokens=False):
-                found = coded.ids
-                ids += found
-                sizes.append(len(found))
-        if missing:
-            self.slot.update(zip(missing, range(len(self.slot), len(self.slot) + len(missing))))
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
-        return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        ids, ends = self.coded(missing)
+        stay = max(0, min(len(missing), CACHED_WORDS - len(self.slot)))
+        if stay:
+            self.slot.update(zip(missing[:stay], range(len(self.slot), len(self.slot) + stay)))
+            self.begin = np.concatenate([self.begin, self.begin[-1] + ends[:stay]])
+            self.flat = np.concatenate([self.flat, ids[: ends[stay - 1]]])
+        if stay == len(missing):
+            return self.flat, self.begin, np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        used = ends[stay - 1] if stay else 0
+        more = dict(zip(missing[stay:], range(len(self.slot), len(self.slot) + len(missing) - stay)))
+        place = np.fromiter((self.slot[w] if w in self.slot else more[w] for w in words), np.int64, len(words))
+        begin = np.concatenate([self.begin, self.begin[-1] + ends[stay:] - used])
+        return np.concatenate([self.flat, ids[used:]]), begin, place
 
 
 def text_ids(coder: WordIds, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,12 +211,12 @@ def text_ids(coder: WordIds, texts: pa.Array, end_id: int) -> tuple[np.ndarray,
     sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False)
     first = upto[np.concatenate([[0], np.cumsum(sizes)])]
     coded = words.filter(full).dictionary_encode()
-    slot = coder.slots(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-    begin = coder.begin[slot]
-    n = coder.begin[slot + 1] - begin
+    flat, begin, place = coder.slots(coded.dictionary.to_pylist())
+    slot = place[coded.indices.to_numpy(zero_copy_only=False)]
+    n = begin[slot + 1] - begin[slot]
     done = np.cumsum(n)
-    gather = np.repeat(begin - (done - n), n) + np.arange(int(done[-1]) if len(done) else 0)
-    ids = coder.flat[gather]
+    gather = np.repeat(begin[slot] - (done - n), n) + np.arange(int(done[-1]) if len(done) else 0)
+    ids = flat[gather]
     ends = np.concatenate([[0], done])[first]
     return np.insert(ids, ends[1:], end_id), np.diff(ends) + 1
 
@@ -232,7 +272,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2)
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder, task, before = WordIds(tokenizer), TaskContext.get().partitionId(), 0
+        coder, task, before = WordIds.of_worker(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             size = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
             group = np.cumsum(size) // TEXT_BYTES
