@@ -22,6 +22,8 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import keep
+
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 # Fixed value: the repeat offsets that end the entropy tables of a trained dictionary.
 REPEAT_OFFSETS = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])
@@ -31,8 +33,8 @@ REPEAT_OFFSETS = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])
 class FitPlan:
     """Bounds of the sample that the dictionaries and the curve are fitted on, per class."""
 
-    max_docs: int = 4_000
-    max_bytes: int = 12_000_000
+    max_docs: int = 2_500
+    max_bytes: int = 10_000_000
     window_words: int = 8
     ordinary_bytes: int = 16_384
     toxic_bytes: int = 2_048
@@ -120,15 +122,22 @@ def families(docs: list[list[bytes]]) -> list[int]:
 def stems(toxic: list[list[bytes]], ordinary: list[list[bytes]], plan: FitPlan) -> list[bytes]:
     """Beginnings of words that toxic texts have far more often, the most frequent first."""
 
-    def count(docs: list[list[bytes]]) -> tuple[Counter, int]:
-        grams: dict[int, set[bytes]] = defaultdict(set)
-        for family, words in zip(families(docs), docs):
-            for w in set(words):
-                w = b" " + w + b" "
-                grams[family].update(w[:n] for n in range(plan.shortest, min(plan.longest, len(w)) + 1))
-        return Counter(g for some in grams.values() for g in some), len(grams)
-
-    (bad, n_bad), (good, n_good) = count(toxic), count(ordinary)
+    def pooled(docs: list[list[bytes]]) -> list[set[bytes]]:
+        words: dict[int, set[bytes]] = defaultdict(set)
+        for family, some in zip(families(docs), docs):
+            words[family].update(b" " + w + b" " for w in some)
+        return list(words.values())
+
+    # a longer beginning is counted only where the shorter one is frequent enough
+    toxic_words, bad = pooled(toxic), Counter()
+    for n in range(plan.shortest, plan.longest + 1):
+        begins = lambda w: len(w) >= n and (n == plan.shortest or w[: n - 1] in bad)  # noqa: E731, B023
+        counts = Counter(g for some in toxic_words for g in {w[:n] for w in some if begins(w)})
+        bad.update({g: c for g, c in counts.items() if c >= plan.min_texts})
+    sizes, good, n_bad, n_good = range(plan.shortest, plan.longest + 1), Counter(), len(toxic_words), 0
+    for some in pooled(ordinary):
+        good.update({w[:n] for w in some for n in sizes if w[:n] in bad and len(w) >= n})
+        n_good += 1
 
     def telling(g: bytes) -> bool:
         a, b = bad[g] + 0.5, good[g] + 0.5
@@ -197,22 +206,23 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 def fit(docs: DataFrame, labels: DataFrame, plan: FitPlan = FitPlan()) -> ToxicityModel:
     """Fits on a sample of labelled rows, bounded by ``plan``: the rows with the smallest
-    hash of their id. Rows with a NULL label or text are left out; if a class is missing,
+    hash of their id. Labels other than 0 and 1 and NULL texts are left out; if a class is missing,
     every text gets the share of toxic labels (0 without labels)."""
-    truth = labels.where("toxic IS NOT NULL").select("doc_id", "toxic").distinct()
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(truth, "doc_id")
-    rows = rows.withColumn("_h", F.xxhash64(F.lit(plan.seed), "doc_id"))
-    size = F.octet_length("text")
-    sums = {r["toxic"]: r for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(size).alias("b")).collect()}
-    if not {0, 1} <= sums.keys():
-        return ToxicityModel(b"", b"", plan.window_words, (), 1.0 if 1 in sums else 0.0)
-    part = F.lit(None).cast("double")
-    for label, r in sums.items():
-        share = min(1.0, plan.max_docs / r["n"], plan.max_bytes / max(r["b"], 1))
-        part = F.when(F.col("toxic") == label, share).otherwise(part)
-    # a hash below the share of its range: about as many rows as the bound, on any layout
+    truth = labels.where("toxic IN (0, 1)").select("doc_id", "toxic").distinct()
+    truth = truth.withColumn("_h", F.xxhash64(F.lit(plan.seed), "doc_id"))
+    counts = {r["toxic"]: r["count"] for r in truth.groupBy("toxic").count().collect()}
+    if not {0, 1} <= counts.keys():
+        return ToxicityModel(b"", b"", plan.window_words, (), 1.0 if 1 in counts else 0.0)
+    # hashes below a share of their range: about as many rows as the bound, on any layout
     unit = F.shiftrightunsigned("_h", 11).cast("double") / float(1 << 53)
-    sample = rows.where(unit < part).select("toxic", "_h", F.encode("text", "UTF-8").alias("text")).toArrow()
+    part = F.when(F.col("toxic") == 1, plan.max_docs / counts[1]).otherwise(plan.max_docs / counts[0])
+    chosen = F.broadcast(truth.where(unit < part))  # bounded by max_docs
+    texts = docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).where("text IS NOT NULL")
+    rows = keep(texts.join(chosen, "doc_id"), "labelled")
+    sums = {r["toxic"]: r["b"] for r in rows.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
+    fits = [F.when(F.col("toxic") == k, plan.max_bytes / max(sums.get(k, 0), 1)).otherwise(0.0) for k in (0, 1)]
+    inside = unit / part < fits[0] + fits[1]
+    sample = rows.where(inside).select("toxic", "_h", "text").toArrow()
     order = np.argsort(sample.column("_h").to_numpy(), kind="stable")
     toxic, text = sample.column("toxic").to_numpy()[order], sample.column("text").take(pa.array(order)).to_pylist()
     split = [words_of(t) for t in text]
@@ -229,13 +239,13 @@ def fit(docs: DataFrame, labels: DataFrame, plan: FitPlan = FitPlan()) -> Toxici
     return ToxicityModel(ordinary, found, plan.window_words, weights)
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of the documents, ``score`` between 0 and 1, and ``predicted``.
+def score(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFrame:
+    """``columns`` of the documents, ``score`` between 0 and 1, and ``predicted``.
 
     The whole text is read; a NULL or blank text has one empty window and gets the score of
     no saving. Every row gets a row. Names other than those asked for do not matter.
     """
-    slim = docs.select(*keep, F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_raw"))
+    slim = docs.select(*columns, F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_raw"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,13 +254,13 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
             if savings is None:
                 points = np.full(batch.num_rows, model.prior)
             else:
-                x = [savings.features(v.as_py(), model.window_words) for v in batch.column(len(keep))]
+                x = [savings.features(v.as_py(), model.window_words) for v in batch.column(len(columns))]
                 z = model.weights[0] + np.array(x).reshape(-1, len(model.weights) - 1) @ np.array(model.weights[1:])
                 points = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             made = pa.array(points)
             told = pc.cast(pc.greater_equal(made, 0.5), pa.int32())
-            arrays = [batch.column(i) for i in range(len(keep))] + [made, told]
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "score", "predicted"])
+            arrays = [batch.column(i) for i in range(len(columns))] + [made, told]
+            yield pa.RecordBatch.from_arrays(arrays, [*columns, "score", "predicted"])
 
     return slim.mapInArrow(work, f"{schema}, score double, predicted int")
 
@@ -265,14 +275,11 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, plan: FitPlan = FitPlan())
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, plan: FitPlan = FitPlan()) -> DataFrame:
-    """Rows of ``docs`` that are not predicted toxic, with all their columns.
-
-    Scores are joined by id and a hash of the text, which decides the score; equal rows
-    share it."""
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_h": F.xxhash64("text")})
-    scored = score(rows, fit_on_labels(docs, labels, plan), ["_id", "_h"])
-    bad = scored.where("predicted = 1").select("_id", "_h").distinct()
-    return rows.join(bad, ["_id", "_h"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows of ``docs`` that are not predicted toxic, with all their columns."""
+    numbered = {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}  # no name can clash
+    rows = docs.select(*[c.alias(k) for k, c in numbered.items()], F.col("text").alias("text"))
+    scored = score(rows, fit_on_labels(docs, labels, plan), list(numbered))
+    return scored.where("predicted = 0").select(*[F.col(k).alias(c) for k, c in zip(numbered, docs.columns)])
 
 
 def run(spark, sf: str) -> DataFrame:
