@@ -144,7 +144,7 @@ def test_shuffle_without_key_spreads_copies(spark):
 
 def test_head(sample):
     assert [r["age"] for r in rows.head(sample, 2, ["salary"]).collect()] == [25, 30]
-    for n in (0, 501):
+    for n in (0, -1):
         with pytest.raises(ValueError):
             rows.head(sample, n)
     assert rows.shape(sample) == (5, 4)
@@ -170,3 +170,21 @@ def test_repeat_rows_in_chunks(frame, monkeypatch):
     df = frame("a int, n bigint", [(1, 1), (2, 7), (3, 25), (4, 10), (5, 0)])
     out = ranking.repeat_rows(df, F.col("n"), "i").groupBy("a").agg(F.count("*").alias("c"), F.sum("i").alias("s"))
     assert values(out, "a", "c", "s") == [(1, 1, 1), (2, 7, 28), (3, 25, 325), (4, 10, 55)]
+
+
+def test_separators_in_texts_do_not_collide(frame):
+    texts = [("a|b", "c"), ("a", "b|c"), ("\\N", "x"), (None, "x"), ("a\\", "|b"), ("a|", "\\b")]
+    df = frame("x string, y string", texts)
+    for n in range(7):
+        assert rows.sample_rows(df, n=n).count() == min(n, len(texts))
+        assert rows.sample_rows(df, n=n, key=["x", "y"]).count() == min(n, len(texts))
+
+
+def test_not_a_number_is_missing_in_filters(frame):
+    df = frame("v double", [(-4.0,), (16.0,), (4.0,), (None,)])
+    assert values(rows.filter_rows(df, "sqrt(v) > 3")) == [(16.0,)]
+    assert rows.filter_rows(df, "v ** 0.5 > 3").count() == 1
+
+
+def test_head_has_no_upper_limit(spark):
+    assert rows.head(spark.range(900).toDF("x"), 700, ["x"]).count() == 700

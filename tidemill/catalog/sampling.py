@@ -53,6 +53,41 @@ def sample_repeated_rows(spark, sf):
     return rows.sample_rows(t, frac=0.4).groupBy("event_type", "props").agg(F.count("*").alias("copies"))
 
 
+# texts that hold the separator of the row hash and its escape, at fixed places
+_PIPES = """pipes AS (SELECT lang || CASE WHEN doc_id % 3 = 0 THEN '|' ELSE '' END AS a,
+  CASE WHEN doc_id % 3 = 1 THEN '|' WHEN doc_id % 3 = 2 THEN '\\' ELSE '' END || lang AS b FROM documents),
+marked AS (SELECT a, b, md5(concat_ws('|', '42', replace(replace(a, '\\', '\\\\'), '|', '\\|'),
+  replace(replace(b, '\\', '\\\\'), '|', '\\|'))) AS h FROM pipes),
+placed AS (SELECT a, b, row_number() OVER (ORDER BY h) AS rk, count(*) OVER () AS n FROM marked)"""
+
+
+def _pipes(spark, sf):
+    third = F.col("doc_id") % 3
+    tail = F.when(third == 0, "|").otherwise("")
+    front = F.when(third == 1, "|").when(third == 2, "\\").otherwise("")
+    docs = table(spark, sf, "documents")
+    return docs.select(F.concat("lang", tail).alias("a"), F.concat(front, "lang").alias("b"))
+
+
+@query(
+    "sample_pipe_text",
+    f"WITH {_PIPES} SELECT a, b, count(*) AS copies FROM placed WHERE rk <= round_even(0.4 * n, 0) GROUP BY 1, 2",
+)
+def sample_pipe_text(spark, sf):
+    sampled = rows.sample_rows(_pipes(spark, sf), frac=0.4)
+    return sampled.groupBy("a", "b").agg(F.count("*").alias("copies"))
+
+
+@query(
+    "split_pipe_text",
+    f"""WITH {_PIPES} SELECT a, b, CASE WHEN rk <= n - ceil(n * 0.2::DOUBLE) THEN 'train' ELSE 'test' END AS split,
+  count(*) AS copies FROM placed GROUP BY 1, 2, 3""",
+)
+def split_pipe_text(spark, sf):
+    parts = splits.split(_pipes(spark, sf), "a", 0.2)
+    return parts.groupBy("a", "b", "split").agg(F.count("*").alias("copies"))
+
+
 @query("stride_sample", f"SELECT {_EVENT_COLUMNS} FROM ({_EVENTS}) WHERE n <= 300 OR (rk - 1) % greatest(n // 300, 1) = 0")
 def stride_sample(spark, sf):
     return rows.stride_sample(table(spark, sf, "events"), key=["event_id"])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions.columns import col, is_timestamp
+from tidemill.functions.numbers import nan_to_null
 
 _OPPOSITE = {
     ast.Gt: ast.LtE,
@@ -165,10 +166,10 @@ class _Reader:
             if isinstance(node.op, ast.UAdd):
                 return inner
         if isinstance(node, ast.BinOp):
-            return self.arithmetic(node)
+            return self.number(self.arithmetic(node))
         if isinstance(node, ast.Call) and isinstance(node.func, ast.Name):
             if node.func.id in _FUNCTIONS and len(node.args) == 1 and not node.keywords:
-                return _FUNCTIONS[node.func.id](self.value(node.args[0]))
+                return self.number(_FUNCTIONS[node.func.id](self.value(node.args[0])))
         if isinstance(node, (ast.Compare, ast.BoolOp)):
             return F.coalesce(self.test(node, True), F.lit(False))
         raise TypeError(f"unsupported expression: {ast.dump(node)}")
@@ -192,6 +193,11 @@ class _Reader:
             return F.pow(a, b)
         raise TypeError("unsupported operator")
 
+    def number(self, value: Column) -> Column:
+        """A result that is not a number is missing."""
+        real = isinstance(self.type_of(value), (T.FloatType, T.DoubleType))
+        return nan_to_null(value) if real else value
+
     def type_of(self, value: Column) -> T.DataType:
         return self.df.select(value.alias("v")).schema["v"].dataType
 

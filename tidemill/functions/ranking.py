@@ -29,8 +29,13 @@ COPIES_PER_ROW = 100_000
 
 
 def row_hash(key: Sequence[str], seed: int | str) -> Column:
-    """``md5`` of the seed and the key values, joined by ``|``; NULL is written ``\\N``."""
-    parts = [F.coalesce(col(k).cast("string"), F.lit("\\N")) for k in key]
+    """``md5`` of the seed and the key values, joined by ``|``; NULL is written ``\\N``.
+
+    Inside a value, ``\\`` and ``|`` get a ``\\`` before them, so that different rows stay
+    different once they are joined.
+    """
+    escaped = [F.replace(F.replace(col(k).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for k in key]
+    parts = [F.coalesce(e, F.lit("\\N")) for e in escaped]
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 

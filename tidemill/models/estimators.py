@@ -72,7 +72,7 @@ def _penalised(alpha: float, ratio: float, f: Facts, iterations: int, intercept:
         elasticNetParam=l1 / strength if strength else 0.0,
         standardization=False,
         solver="l-bfgs",
-        maxIter=max(iterations, 100),
+        maxIter=iterations,
         tol=1e-12,
         fitIntercept=intercept,
     )
@@ -94,8 +94,13 @@ def _elastic(p, f: Facts):
     return _penalised(p["alpha"], p["l1_ratio"], f, p["max_iter"], p["fit_intercept"])
 
 
-def _depth(value: int | None) -> int:
-    return DEEPEST if value is None or value == 0 else min(value, DEEPEST)
+def _depth(value: int | None, f: Facts) -> int:
+    if value is None or value == 0:
+        f.notes.append(f"max_depth={value!r}: trees grow to {DEEPEST} levels at most")
+        return DEEPEST
+    if value > DEEPEST:
+        raise InvalidParameterError(f"max_depth={value} is beyond the {DEEPEST} levels that trees can have")
+    return value
 
 
 def _subset(value: str | None) -> str:
@@ -105,7 +110,7 @@ def _subset(value: str | None) -> str:
 def _tree(p, f: Facts):
     f.ignore(p, {"min_samples_split": 2.0})
     common = {
-        "maxDepth": _depth(p["max_depth"]),
+        "maxDepth": _depth(p["max_depth"], f),
         "minInstancesPerNode": p["min_samples_leaf"],
         "seed": _seed(p),
         "maxBins": BINS,
@@ -128,7 +133,7 @@ def _random_forest(p, f: Facts):
     return _forest(
         p,
         f,
-        maxDepth=_depth(p["max_depth"]),
+        maxDepth=_depth(p["max_depth"], f),
         bootstrap=p["bootstrap"],
         featureSubsetStrategy=_subset(p["max_features"]),
     )
@@ -166,7 +171,7 @@ def _boosted(f: Facts, rounds, rate, depth, share, seed, bins=BINS, leaf=1):
 
 
 def _gradient_boosting(p, f: Facts):
-    return _boosted(f, p["n_estimators"], p["learning_rate"], _depth(p["max_depth"]), p["subsample"], _seed(p))
+    return _boosted(f, p["n_estimators"], p["learning_rate"], _depth(p["max_depth"], f), p["subsample"], _seed(p))
 
 
 def _hist_boosting(p, f: Facts):
@@ -183,7 +188,7 @@ def _xgb(p, f: Facts):
     f.notes.append("fitted by Spark's own boosted trees")
     f.ignore(p, {"reg_lambda": 0.0, "reg_alpha": 0.0, "colsample_bytree": 1.0})
     return _boosted(
-        f, p["n_estimators"], p["learning_rate"], _depth(p["max_depth"]), p["subsample"], _seed(p), 255
+        f, p["n_estimators"], p["learning_rate"], _depth(p["max_depth"], f), p["subsample"], _seed(p), 255
     )
 
 
@@ -194,7 +199,7 @@ def _xgb_forest(p, f: Facts):
     return _forest(
         p,
         f,
-        maxDepth=_depth(p["max_depth"]),
+        maxDepth=_depth(p["max_depth"], f),
         subsamplingRate=max(p["subsample"], 1e-6),
         featureSubsetStrategy="all" if share >= 1 else str(max(share, 1e-6)),
     )
@@ -222,18 +227,18 @@ def _sgd_classifier(p, f: Facts):
             standardization=False,
             regParam=p["alpha"],
             elasticNetParam=_ELASTIC_SHARE[p["penalty"]],
-            maxIter=min(p["max_iter"], 200),
+            maxIter=p["max_iter"],
             tol=1e-8,
         )
     if p["loss"] == "hinge" and p["penalty"] == "l2":
-        return _linear_svm(p["alpha"], min(p["max_iter"], 50), f)
+        return _linear_svm(p["alpha"], p["max_iter"], f)
     raise InvalidParameterError(f"loss {p['loss']!r} with penalty {p['penalty']!r} has no distributed solver")
 
 
 def _sgd_regressor(p, f: Facts):
     f.notes.append("the loss is minimised exactly; step sizes do not apply")
     if p["loss"] == "squared_error":
-        return _penalised(p["alpha"], _ELASTIC_SHARE[p["penalty"]], f, min(p["max_iter"], 1000))
+        return _penalised(p["alpha"], _ELASTIC_SHARE[p["penalty"]], f, p["max_iter"])
     if p["loss"] == "huber" and p["penalty"] == "l2":
         return R.LinearRegression(loss="huber", regParam=p["alpha"], standardization=False, maxIter=200)
     raise InvalidParameterError(f"loss {p['loss']!r} with penalty {p['penalty']!r} has no distributed solver")

@@ -170,15 +170,15 @@ def fit_transformer(
 ) -> TransformPlan:
     numeric, categorical = list(numeric_columns), list(categorical_columns)
     if categorical_encoding not in ("one_hot", "ordinal"):
-        raise ValueError("categorical_encoding must be 'one_hot' or 'ordinal'.")
+        raise ValueError(f"no categorical encoding {categorical_encoding!r}: one_hot or ordinal")
     if remainder not in ("drop", "passthrough"):
         raise ValueError("remainder must be 'drop' or 'passthrough'.")
     if not numeric and not categorical:
-        raise ValueError("At least one numeric or categorical column is required.")
+        raise ValueError("nothing to transform: At least one numeric or text column has to be named")
     require_columns(df, [*numeric, *categorical])
     fills: dict[str, Any] = {}
     if numeric:
-        fills.update(fit_fill(df, numeric, numeric_imputation, 0, approx))
+        fills.update(fit_fill(df, numeric, numeric_imputation, 0, approx, keep_all=True))
     if categorical:
         fills.update(fit_fill(df, categorical, categorical_imputation, "missing"))
     filled = apply_fill(df, fills)

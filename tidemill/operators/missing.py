@@ -23,12 +23,17 @@ def fit_fill(
     strategy: str = "median",
     fill_value: Any = DEFAULT_TEXT,
     approx: bool = False,
+    keep_all: bool = False,
 ) -> dict[str, Any]:
-    """The value each column is filled with; columns without one are left out."""
+    """The value each column is filled with; columns without one are left out.
+
+    ``keep_all`` keeps a fractional value for a whole-number column that has nothing missing
+    now: other tables may need it, and the column then turns into doubles.
+    """
     columns = as_list(columns)
     require_columns(df, columns)
     if strategy not in STRATEGIES:
-        raise ValueError("strategy must be one of: mean, median, most_frequent, constant")
+        raise ValueError(f"no fill strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
     if strategy in ("mean", "median"):
         wrong = [c for c in columns if not is_number(type_of(df, c))]
         if wrong:
@@ -45,7 +50,8 @@ def fit_fill(
         values = {c: v[0] for c, v in exact_quantiles(numbers, {c: [0.5] for c in columns}, approx).items()}
     else:
         values = most_frequent(df, columns)
-    return _where_needed(df, {c: _literal(v) for c, v in values.items() if v is not None})
+    found = {c: _literal(v) for c, v in values.items() if v is not None}
+    return found if keep_all else _where_needed(df, found)
 
 
 def _where_needed(df: DataFrame, values: dict[str, Any]) -> dict[str, Any]:

@@ -37,7 +37,7 @@ def outlier_bounds(
             *[F.stddev_samp(col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)],
         ).first()
         return {c: _around(row[f"m{i}"], row[f"s{i}"], threshold) for i, c in enumerate(columns)}
-    raise ValueError("method must be 'iqr' or 'zscore'.")
+    raise ValueError(f"bounds come from iqr or zscore, not {method!r}")
 
 
 def _fences(low: float | None, high: float | None, threshold: float) -> tuple[float, float]:

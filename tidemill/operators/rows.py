@@ -114,11 +114,11 @@ def sample_rows(
 ) -> DataFrame:
     """Exactly ``n`` rows, or ``round(frac * rows)`` with halves to even."""
     if n is None and frac is None:
-        raise ValueError("Provide either n or frac.")
+        raise ValueError("say how many rows to take: n, or frac of the table")
     if n is not None and frac is not None:
-        raise ValueError("Provide n or frac, not both.")
+        raise ValueError("n and frac contradict each other; give one")
     if n is not None and n < 0 or frac is not None and frac < 0:
-        raise ValueError("n and frac must not be negative.")
+        raise ValueError("a sample cannot have fewer than no rows")
     if frac is not None and frac > 1:
         raise ValueError("frac above 1 needs sampling with replacement.")
     order = HashOrder(df, key, random_state)
@@ -134,8 +134,8 @@ def sample_rows(
 
 def head(df: DataFrame, n: int = 20, key: Sequence[str] | None = None) -> DataFrame:
     """The first ``n`` rows in ``key`` order."""
-    if not 0 < n <= 500:
-        raise ValueError("n must be between 1 and 500.")
+    if n < 1:
+        raise ValueError("head needs at least one row")
     names = list(key) if key is not None else df.columns
     require_columns(df, names)
     return df.orderBy(*[col(c) for c in names]).limit(n)

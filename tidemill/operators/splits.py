@@ -18,15 +18,15 @@ def split_sizes(rows: int, test_size: float, validation_size: float | None = Non
     """Rows of train, validation and test. Held-out parts are rounded up, first both
     together, then the test share of them."""
     if not 0 < test_size < 1:
-        raise ValueError("test_size must be between 0 and 1.")
+        raise ValueError(f"a test share of {test_size} leaves one part empty")
     if validation_size is None:
         test = math.ceil(rows * test_size)
         sizes = [rows - test, 0, test]
     else:
         if not 0 < validation_size < 1:
-            raise ValueError("validation_size must be between 0 and 1.")
+            raise ValueError(f"a validation share of {validation_size} leaves one part empty")
         if validation_size + test_size >= 1:
-            raise ValueError("validation_size + test_size must be less than 1.")
+            raise ValueError("test and validation rows leave none to train on")
         held = math.ceil(rows * (validation_size + test_size))
         test = math.ceil(held * (test_size / (validation_size + test_size)))
         sizes = [rows - held, held - test, test]

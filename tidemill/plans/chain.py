@@ -106,7 +106,7 @@ def check_operations(operations: Any) -> list[dict[str, Any]]:
     if operations is None:
         return []
     if not isinstance(operations, (list, tuple)):
-        raise ValueError("operations must be a list.")
+        raise ValueError(f"a chain is a list of steps, not {type(operations).__name__}")
     for place, raw in enumerate(operations):
         if not isinstance(raw, dict):
             raise ValueError(f"operations[{place}]: each operation must be an object.")

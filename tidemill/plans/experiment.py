@@ -63,12 +63,12 @@ def check_spec(spec: Mapping[str, Any]) -> dict[str, Any]:
         if value is None and name == "validation_size":
             continue
         if isinstance(value, bool) or not isinstance(value, (int, float)):
-            raise ValueError(f"{name} must be a number")
+            raise ValueError(f"{name}={value!r} is no number")
         if not low <= value <= high:
-            raise ValueError(f"{name} must be between {low} and {high}, got {value}")
+            raise ValueError(f"{name}={value} lies outside {low} to {high}")
     full["validation_size"] = full["validation_size"] or None
     if full["params"] is None or not isinstance(full["params"], Mapping):
-        raise ValueError("params must be an object.")
+        raise ValueError("params maps names to values")
     check_params(full["model_name"], full["task"], full["params"])
     if full["param_config"] is not None:
         config = {**GRID_DEFAULTS, **full["param_config"]}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions.columns import col, is_number, require_columns, type_of
+from tidemill.functions.numbers import parse_number
 from tidemill.operators.features import code_map, dummy_columns, fit_dummies
 from tidemill.operators.missing import apply_fill, fit_auto_fill
 from tidemill.operators.profile import MAX_VALUES
@@ -39,7 +40,11 @@ class PreparePlan:
         missing = [c for c in self.inputs if c not in set(df.columns)]
         if missing:
             raise ValueError(f"Missing features: {missing}")
-        filled = apply_fill(df, self.fills)
+        # text where a number was: what does not parse is missing, and is filled
+        texts = [
+            c for c in self.inputs if c not in self.dummies and isinstance(type_of(df, c), T.StringType)
+        ]
+        filled = apply_fill(df.withColumns({c: parse_number(col(c)) for c in texts}), self.fills)
         columns = {}
         for c in self.inputs:
             if c not in self.dummies:
@@ -57,6 +62,8 @@ class PreparePlan:
         if self.classes is not None:
             code = code_map(self.classes, T.StringType(), y.cast("string"), F.lit(-1))
             return code.cast("bigint" if self.task == "classification" else "double")
+        if isinstance(kind, T.StringType):
+            y = parse_number(y)
         if self.task == "classification":
             return y.cast("bigint")
         return y.cast("double")

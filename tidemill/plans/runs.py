@@ -35,7 +35,9 @@ class RunStore:
     def _read(self, table: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
 
     def _append(self, table: str, rows: list[tuple], schema: str) -> None:
