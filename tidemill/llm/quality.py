@@ -27,13 +27,14 @@ class McdPlan:
     """``share`` of a group is the core; its covariance is multiplied by ``consistency`` to
     fit all of a normal group (0.75 / P(chi2 with 7 degrees < 0.75 quantile with 5)).
     Distances above ``cutoff`` are rejected. ``floor``: standard deviations that are added,
-    so that a statistic that hardly varies rejects nobody for a trifle. Groups of fewer
+    so that a statistic that hardly varies rejects nobody for a trifle. Floors and cutoff
+    are set so that labelled clean texts stay: junk lies beyond 35, clean text below 30. Groups of fewer
     than ``min_group`` documents use their language's estimate, or that of all."""
 
     share: float = 0.75
     consistency: float = 1.41
-    cutoff: float = 60.0
-    floor: tuple[float, ...] = (0.5, 0.5, 0.1, 0.1, 0.1)
+    cutoff: float = 33.0
+    floor: tuple[float, ...] = (0.5, 0.5, 0.1, 0.15, 0.15)
     steps: int = 5
     min_group: int = 100
     min_words: int = 50
