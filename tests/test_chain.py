@@ -124,3 +124,13 @@ def test_one_plan_without_python(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert "GreaterThan(v,3.0)" in plan and "unused" not in plan
+
+
+def test_audit_reads_its_input_once_per_step(spark, tmp_path):
+    spark.range(100).selectExpr("id", "id % 7 AS v").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    steps = [{"operation": "filter_rows", "expression": "v > 2"}, {"operation": "drop_columns", "columns": "v"}]
+    report = audit(df, steps)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == len(steps) + 1
+    assert [r["row_change"] for r in report.orderBy("step").collect()][0] < 0

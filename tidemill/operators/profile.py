@@ -191,11 +191,11 @@ def class_distribution(df: DataFrame, target: str, top: int | None = None) -> Da
     """``value, pct``: share of each value, missing counted; optionally the ``top`` ones."""
     require_columns(df, [target])
     counts = df.groupBy(col(target).alias("value")).agg(F.count("*").alias("n"))
-    total = F.lit(df.count())
-    shares = counts.orderBy(F.desc("n"), F.asc_nulls_last("value"))
+    shares = counts.join(F.broadcast(counts.agg(F.sum("n").alias("total"))))  # one row
+    shares = shares.orderBy(F.desc("n"), F.asc_nulls_last("value"))
     if top is not None:
         shares = shares.limit(top).withColumn("value", F.col("value").cast("string"))
-    return shares.select("value", percent(F.col("n"), total).alias("pct"))
+    return shares.select("value", percent(F.col("n"), F.col("total")).alias("pct"))
 
 
 def top_classes(df: DataFrame, target: str) -> DataFrame | None:

@@ -16,6 +16,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemill.functions.columns import as_list, col, require_columns
 from tidemill.operators import missing, outliers, rows, scalars
@@ -204,18 +205,10 @@ def audit_tables(tables: Sequence[DataFrame], operations: Sequence[dict[str, Any
     counted = parts[0]
     for part in parts[1:]:
         counted = counted.unionByName(part)
-    # one row per step: the change is taken against the step before by an equi-join
-    earlier = counted.select((F.col("step") + 1).alias("step"), F.col("rows").alias("rows_before"))
-    joined = counted.join(earlier, "step", "left").where("step > 0")
-    return joined.select(
-        "step",
-        "operation",
-        "args",
-        "rows",
-        "cols",
-        (F.col("rows") - F.col("rows_before")).alias("row_change"),
-        "col_change",
-    )
+    # one row per step, so the only ordering over all of them is small; each step is counted once
+    before = F.lag("rows").over(Window.orderBy("step"))
+    changed = counted.withColumn("row_change", F.col("rows") - before).where("step > 0")
+    return changed.select("step", "operation", "args", "rows", "cols", "row_change", "col_change")
 
 
 def preview_chain(

@@ -103,11 +103,15 @@ def load_split(spark: SparkSession, path: str, split: str | None = None) -> Data
         if split is None:
             return df
         raise ValueError(f"Split {split!r} not found. Available: none")
-    names = sorted({m.group(1) for f in df.inputFiles() for m in [re.search(r"split=([^/]+)/", f)] if m})
+    # a folder name is a value of the table: only distinct ones come to the driver
+    found = df.select(F.col("split").cast("string").alias("split")).where("split IS NOT NULL").distinct()
+    names = sorted(r["split"] for r in found.collect())
+    if not names:
+        raise ValueError("the table has no named split")
     chosen = split if split is not None else ("train" if "train" in names else names[0])
     if chosen not in names:
         raise ValueError(f"Split {chosen!r} not found. Available: {', '.join(names)}")
-    return df.where(F.col("split") == chosen).drop("split")
+    return df.where(F.col("split").cast("string") == chosen).drop("split")
 
 
 def without_nan(df: DataFrame) -> DataFrame:
