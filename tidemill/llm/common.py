@@ -49,11 +49,3 @@ def bucket_bits(rows: int) -> int:
     """Bits of a hash so that a bucket holds ``ROWS_PER_BUCKET`` rows at most, and a hot group
     falls into many buckets even where rows are few."""
     return max(8, math.ceil(math.log2(max(rows, 1) / ROWS_PER_BUCKET + 1)))
-
-
-def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
-    """A join condition under which NULL equals NULL."""
-    out = F.lit(True)
-    for c in columns:
-        out = out & left[c].eqNullSafe(right[c])
-    return out
