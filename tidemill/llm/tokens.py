@@ -28,9 +28,9 @@ SHORT = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
 BLOCK = 256  # ids
 MAGIC = b"TMS8SEG1"
 HEADER = "<8sIQQQQQ"  # magic, task, ids before, documents, ids, blocks, words
-TEXT_BYTES = 1 << 22  # text that is tokenized at a time and makes a segment
-SEGMENTS_PER_FILE = 8
-CACHED_WORDS = 800_000  # about 150 MB
+TEXT_BYTES = 1 << 21  # text that is tokenized at a time and makes a segment
+SEGMENTS_PER_FILE = 16
+CACHED_WORDS = 400_000  # about 75 MB
 TOGETHER = 512  # blocks that are packed or unpacked at a time: their arrays stay in the cache
 
 

@@ -33,8 +33,8 @@ REPEAT_OFFSETS = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])
 class FitPlan:
     """Bounds of the sample that the dictionaries and the curve are fitted on, per class."""
 
-    max_docs: int = 2_500
-    max_bytes: int = 10_000_000
+    max_docs: int = 2_000
+    max_bytes: int = 7_000_000
     window_words: int = 8
     ordinary_bytes: int = 16_384
     toxic_bytes: int = 2_048
