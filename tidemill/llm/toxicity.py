@@ -1,5 +1,6 @@
 """Toxicity by compression distance: two zstandard dictionaries, one trained on ordinary
-text, one that adds what toxic text has and ordinary text lacks.
+text, one that adds a list of word beginnings that toxic text has and ordinary text lacks.
+The list replaces a dictionary trained on toxic text, which finds far fewer (see README).
 
 A text is cut into windows of eight words. A window that becomes shorter under the toxic
 dictionary than under the ordinary one holds something that toxic text repeats. Nearly
