@@ -137,6 +137,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and (r["score"] >= 0.5) == (r["predicted"] == 1) for r in held)
 
 
+def test_toxicity_finds_toxic_rows_and_spares_clean_ones(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    held = toxicity.run(spark, sf).where("held_out").join(labels, "doc_id").collect()
+    told = {k: [r["predicted"] for r in held if r["toxic"] == k] for k in (0, 1)}
+    assert len(told[1]) > 50 and sum(told[1]) >= 0.6 * len(told[1])
+    assert sum(told[0]) <= 0.05 * len(told[0])
+
+
+def test_all_ordinary_windows_reach_the_trainer(monkeypatch):
+    seen = []
+
+    def train(size, samples, **options):
+        seen.extend(samples)
+        raise toxicity.zstd.ZstdError("only counted")
+
+    monkeypatch.setattr(toxicity.zstd, "train_dictionary", train)
+    toxicity.ordinary_content([[b"w"] * 8 * 70_000], toxicity.FitPlan())
+    assert len(seen) == 70_000
+
+
 def test_toxicity_without_a_class_and_odd_rows(spark):
     docs, empty = frames(spark)
     none = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")

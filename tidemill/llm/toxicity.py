@@ -165,7 +165,7 @@ def stems(toxic: list[list[bytes]], ordinary: list[list[bytes]], plan: FitPlan)
 
 def ordinary_content(docs: list[list[bytes]], plan: FitPlan) -> bytes:
     """Content of a dictionary trained on windows of ordinary text, without its tables."""
-    samples = [w for words in docs for w in windows(words, plan.window_words)][:60_000]
+    samples = [w for words in docs for w in windows(words, plan.window_words)]
     try:
         trained = zstd.train_dictionary(plan.ordinary_bytes, samples, k=32, d=6, level=3).as_bytes()
         return trained[trained.index(REPEAT_OFFSETS) + len(REPEAT_OFFSETS) :]
