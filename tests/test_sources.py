@@ -102,3 +102,19 @@ def test_chunks(frame):
     assert values(out) == [(1, 2), (4, 3)]
     with pytest.raises(ValueError):
         concat_chunks([])
+
+
+@pytest.mark.parametrize(
+    "name, kind, source", [("read_json", "json", "customer"), ("read_xml", "xml", "supplier")]
+)
+def test_whole_tables_are_written_and_read(spark, tmp_path, monkeypatch, name, kind, source):
+    from tidemill.catalog import REGISTERED, sources
+
+    monkeypatch.setattr(sources, "_fresh", lambda spark, stem: str(tmp_path / stem))
+    out = REGISTERED[name].run(spark, "/root/testdata/sf0.001")
+    whole = spark.read.parquet(f"/root/testdata/sf0.001/{source}.parquet")
+    options = {"multiLine": False} if kind == "json" else {}
+    written = load(spark, DatasetRef(str(tmp_path / kind), kind, options=options))
+    assert set(written.columns) == set(whole.columns) and out.count() == whole.count()
+    key = f"{source[0]}_nationkey"
+    assert written.agg({key: "sum"}).first()[0] == whole.agg({key: "sum"}).first()[0]

@@ -45,15 +45,15 @@ def read_csv(spark, sf):
 @query("read_json", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def read_json(spark, sf):
     path = _fresh(spark, "json")
-    table(spark, sf, "customer").drop("c_nationkey").write.json(path)
-    return load(spark, DatasetRef(path, "json", options={"multiLine": False}))
+    table(spark, sf, "customer").write.json(path)
+    return load(spark, DatasetRef(path, "json", options={"multiLine": False})).drop("c_nationkey")
 
 
 @query("read_xml", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def read_xml(spark, sf):
     path = _fresh(spark, "xml")
-    table(spark, sf, "supplier").drop("s_nationkey").write.format("xml").option("rowTag", "row").save(path)
-    return load(spark, DatasetRef(path, "xml"))
+    table(spark, sf, "supplier").write.format("xml").option("rowTag", "row").save(path)
+    return load(spark, DatasetRef(path, "xml")).drop("s_nationkey")
 
 
 @query("read_split", "SELECT * FROM orders WHERE o_orderstatus = 'F'")
