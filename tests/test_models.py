@@ -189,6 +189,18 @@ def test_regressors(table, name):
     assert got["r2"] > 0.8
 
 
+@pytest.mark.parametrize(
+    "name, task, label, params",
+    [("sgd_regressor", "regression", "y", {"loss": "huber"}), ("svm_classifier", "classification", "g", {})],
+)
+def test_iterations_are_what_was_asked_for(table, name, task, label, params):
+    for steps in (1, 450):
+        model = fit_model(table, name, task, X, label, {**params, "max_iter": steps})
+        stages = model.spark_model.stages
+        core = stages[-1].models[0] if hasattr(stages[-1], "models") else stages[-1]
+        assert core.getMaxIter() == steps
+
+
 def test_tree_text():
     text = """DecisionTreeClassificationModel: uid=x, depth=2
   If (feature 0 <= -1.5E-4)

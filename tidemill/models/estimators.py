@@ -213,7 +213,7 @@ def _svm(p, f: Facts):
     if p["kernel"] != "linear":
         raise InvalidParameterError(f"kernel {p['kernel']!r} has no distributed solver; use 'linear'")
     f.ignore(p, {"probability": False})
-    return _linear_svm(1.0 / (max(p["C"], 1e-12) * f.rows), 50, f)
+    return _linear_svm(1.0 / (max(p["C"], 1e-12) * f.rows), p["max_iter"], f)
 
 
 # Fixed value: share of the absolute penalty in the mixed one.
@@ -240,7 +240,7 @@ def _sgd_regressor(p, f: Facts):
     if p["loss"] == "squared_error":
         return _penalised(p["alpha"], _ELASTIC_SHARE[p["penalty"]], f, p["max_iter"])
     if p["loss"] == "huber" and p["penalty"] == "l2":
-        return R.LinearRegression(loss="huber", regParam=p["alpha"], standardization=False, maxIter=200)
+        return R.LinearRegression(loss="huber", regParam=p["alpha"], standardization=False, maxIter=p["max_iter"])
     raise InvalidParameterError(f"loss {p['loss']!r} with penalty {p['penalty']!r} has no distributed solver")
 
 
