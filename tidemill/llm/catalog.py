@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import chat, decontam, licenses, mixing, quality, sharding, simhash, tokens, toxicity, urls
+from tidemill.llm import (
+    chat, decontam, licenses, mixing, negatives, quality, search, sharding, simhash, tokens, toxicity, urls,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.run,
@@ -19,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": chat.run,
     "op9_decontamination": decontam.run,
     "op10_urls": urls.run,
+    "op11_search": search.run,
+    "op13_negatives": negatives.run,
 }
 
-SQL: dict[str, str] = {"op8_chat": chat.SQL, "op9_decontamination": decontam.SQL}
+SQL: dict[str, str] = {"op8_chat": chat.SQL, "op9_decontamination": decontam.SQL, "op11_search": search.SQL, "op13_negatives": negatives.SQL}
