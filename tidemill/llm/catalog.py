@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import (
-    chat, decontam, licenses, mixing, negatives, quality, search, sharding, simhash, tokens, toxicity, urls,
+    chat, decontam, licenses, mixing, negatives, quality, repeats, search, sharding, simhash, tokens, toxicity, urls,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,7 +22,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": decontam.run,
     "op10_urls": urls.run,
     "op11_search": search.run,
+    "op12_repeats": repeats.run,
     "op13_negatives": negatives.run,
 }
 
-SQL: dict[str, str] = {"op8_chat": chat.SQL, "op9_decontamination": decontam.SQL, "op11_search": search.SQL, "op13_negatives": negatives.SQL}
+SQL: dict[str, str] = {
+    "op8_chat": chat.SQL,
+    "op9_decontamination": decontam.SQL,
+    "op11_search": search.SQL,
+    "op12_repeats": repeats.SQL,
+    "op13_negatives": negatives.SQL,
+}
