@@ -274,13 +274,14 @@ def find_repeats(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     ``first * 256 + how many``."""
     rows = documents(docs)
     runs = suffix_runs(rows)
-    grams = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written before it is joined, so that Spark can split a hot q-gram's side of the join
+    grams = keep(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     repeated = keep(runs.join(grams, "gram"), "runs")
     spans = repeated.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("first"))
     spans = keep(spans, "spans")
     settled = repeated.join(spans.where("n > 1").select("gram", "span"), ["gram", "span"]).select("row", "place")
     mixed = spans.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
-    kinds = spans.join(mixed, "gram").select(
+    kinds = spans.join(keep(mixed, "mixed"), "gram").select(
         "gram", "first.row", "first.place", (F.col("n") == 1).alias("alone"), (F.col("kinds") > heavy).alias("heavy")
     )
     kinds = keep(kinds, "kinds")
