@@ -28,9 +28,11 @@ SHORT = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
 BLOCK = 256  # ids
 MAGIC = b"TMS8SEG1"
 HEADER = "<8sIQQQQQ"  # magic, task, ids before, documents, ids, blocks, words
-TEXT_BYTES = 1 << 21  # text that is tokenized at a time and makes a segment
+TEXT_BYTES = 1 << 22  # text that is tokenized at a time and makes a segment
 SEGMENTS_PER_FILE = 16
-CACHED_WORDS = 400_000  # about 75 MB
+CACHED_WORDS = 800_000  # about 25 MB
+MARK = "\x01"  # between words that are coded together
+TOGETHER_WORDS = 4_096
 TOGETHER = 512  # blocks that are packed or unpacked at a time: their arrays stay in the cache
 
 
@@ -153,15 +155,16 @@ class WordIds:
     """Ids of words, remembered. The tokenizer drops white space, so that a text's ids are
     those of its words one after the other; ASCII white space never joins two characters.
 
-    The first ``CACHED_WORDS`` different words stay, which in any natural text are nearly
-    all that come; what is beyond is tokenized each time.
+    The first ``CACHED_WORDS`` different words stay (in Arrow, a few bytes more than their letters),
+    which in any natural text are nearly all that come; what is beyond is tokenized each time.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.slot: dict[str, int] = {}
+        self.mark = self._mark()
+        self.words = pa.array([], pa.string())
         self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     @staticmethod
@@ -174,32 +177,53 @@ class WordIds:
             known[path] = WordIds(path)
         return known[path]
 
+    def _mark(self) -> int | None:
+        """The id of a control character that stands alone, if it has one: words are coded
+        together with it between them, at less cost."""
+        found = self.tokenizer.encode(f"a {MARK} b", add_special_tokens=False).ids
+        parts = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in ("a", MARK, "b")]
+        alone = len(parts[1]) == 1 and found == sum(parts, []) and parts[1][0] not in parts[0] + parts[2]
+        return parts[1][0] if alone else None
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of the words and their ends, if the marks between them can be told apart."""
+        if self.mark is None or any(MARK in w for w in words):
+            return None
+        text = f" {MARK} ".join([*words, ""])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        marks = np.flatnonzero(ids == self.mark)
+        return (np.delete(ids, marks), marks - np.arange(len(marks))) if len(marks) == len(words) else None
+
+    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [one.ids for one in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.uint32), np.cumsum([len(x) for x in found], dtype=np.int64)
+
     def coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, and where each one's end."""
-        ids, ends = [], np.zeros(len(words), np.int64)
-        for lo in range(0, len(words), 4096):
-            for k, one in enumerate(self.tokenizer.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False)):
-                ids += one.ids
-                ends[lo + k] = len(ids)
-        return np.array(ids, np.uint32), ends
-
-    def slots(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, where they begin, and the place of each word: its ids are
+        ids, ends, upto = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        for lo in range(0, len(words), TOGETHER_WORDS):
+            some = words[lo : lo + TOGETHER_WORDS]
+            found, where = self._together(some) or self._apart(some)
+            ids.append(found)
+            ends.append(where + upto)
+            upto += len(found)
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def slots(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, where they begin, and the place of each (different) word: its ids are
         ``ids[begin[place]:begin[place + 1]]``."""
-        missing = [w for w in words if w not in self.slot]
-        ids, ends = self.coded(missing)
-        stay = max(0, min(len(missing), CACHED_WORDS - len(self.slot)))
+        known = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(known))
+        place = pc.fill_null(known, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[pc.is_null(known).to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+        ids, ends = self.coded(new.to_pylist())
+        flat, begin = np.concatenate([self.flat, ids]), np.concatenate([self.begin, self.begin[-1] + ends])
+        stay = max(0, min(len(new), CACHED_WORDS - len(self.words)))
         if stay:
-            self.slot.update(zip(missing[:stay], range(len(self.slot), len(self.slot) + stay)))
-            self.begin = np.concatenate([self.begin, self.begin[-1] + ends[:stay]])
-            self.flat = np.concatenate([self.flat, ids[: ends[stay - 1]]])
-        if stay == len(missing):
-            return self.flat, self.begin, np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
-        used = ends[stay - 1] if stay else 0
-        more = dict(zip(missing[stay:], range(len(self.slot), len(self.slot) + len(missing) - stay)))
-        place = np.fromiter((self.slot[w] if w in self.slot else more[w] for w in words), np.int64, len(words))
-        begin = np.concatenate([self.begin, self.begin[-1] + ends[stay:] - used])
-        return np.concatenate([self.flat, ids[used:]]), begin, place
+            self.words = pa.concat_arrays([self.words, new.slice(0, stay)])
+            self.begin = begin[: len(self.words) + 1].copy()
+            self.flat = flat[: self.begin[-1]].copy()
+        return flat, begin, place
 
 
 def text_ids(coder: WordIds, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +235,7 @@ def text_ids(coder: WordIds, texts: pa.Array, end_id: int) -> tuple[np.ndarray,
     sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False)
     first = upto[np.concatenate([[0], np.cumsum(sizes)])]
     coded = words.filter(full).dictionary_encode()
-    flat, begin, place = coder.slots(coded.dictionary.to_pylist())
+    flat, begin, place = coder.slots(coded.dictionary)
     slot = place[coded.indices.to_numpy(zero_copy_only=False)]
     n = begin[slot + 1] - begin[slot]
     done = np.cumsum(n)
