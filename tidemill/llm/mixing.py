@@ -9,28 +9,34 @@ multivariate hypergeometric draw, so each shard gets its exact share of an exact
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemill.functions.ranking import repeat_rows
 from tidemill.llm.common import WORD, bucket_bits, keep, word_count
 from tidemill.llm.sharding import permute
 
 MAX_SOURCES = 1_000_000
+MAX_BLOCKS = 500_000_000  # numpy draws from fewer than a thousand million items
 CHUNK = 65_536
+CUT_BYTES = 1 << 22  # text that is cut at a time
 
 
 @dataclass(frozen=True)
 class MixPlan:
     """``share`` of all words is taken; ``weights`` repeat over the sources in code point
     order, NULL last; a source is taken ``max_passes`` times at most. Blocks have
-    ``block_words`` words, fewer where a source would have less than ``min_blocks``."""
+    ``block_words`` words, fewer where a source would have less than ``min_blocks``, more
+    where all passes would have more than ``MAX_BLOCKS`` (beyond some 2.5 * 10^11 words)."""
 
     weights: tuple[float, ...] = (3.0, 1.0, 2.0)
     share: float = 1.5
@@ -80,22 +86,27 @@ def split_quotas(quota: np.ndarray, shards: int, shard: int, seed: int) -> tuple
 def stream(docs: DataFrame, seed: int) -> DataFrame:
     """Size of every document and its place among its source's words."""
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text"))
-    sized = keep(docs.select("doc_id", "source", key.alias("h"), word_count(F.col("text")).alias("size")), "sizes")
+    sized = docs.select("doc_id", "source", key.alias("h"), word_count(F.col("text")).alias("size"))
+    # rows that repeat are counted first: they get their places as a range
+    sized = keep(sized.groupBy("doc_id", "source", "h", "size").agg(F.count("*").alias("_copies")), "sizes")
     bits = bucket_bits(sized.count())
     sized = sized.withColumn("_bucket", F.shiftrightunsigned("h", 64 - bits).cast("int"))
     by_source = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_n"))
+    words = F.col("size") * F.col("_copies")
+    starts = sized.groupBy("source", "_bucket").agg(F.sum(words).alias("_n"))
     starts = starts.select(
         F.col("source").alias("_s"),
         F.col("_bucket").alias("_b"),
         F.coalesce(F.sum("_n").over(by_source), F.lit(0)).alias("_start"),
     )
     inside = (
-        Window.partitionBy("source", "_bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("source", "_bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = sized.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    first = F.col("_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    return keep(placed.select("doc_id", "source", "h", "size", first.alias("start")), "stream")
+    first = F.col("_start") + F.coalesce(F.sum(words).over(inside), F.lit(0))
+    each = repeat_rows(placed.withColumn("_first", first), F.col("_copies"), "_copy_no")
+    start = F.col("_first") + (F.col("_copy_no") - 1) * F.col("size")
+    return keep(each.select("doc_id", "source", "h", "size", start.alias("start")), "stream")
 
 
 def source_table(placed: DataFrame, plan: MixPlan) -> pd.DataFrame:
@@ -113,7 +124,8 @@ def source_table(placed: DataFrame, plan: MixPlan) -> pd.DataFrame:
     weights = np.resize(np.array(plan.weights, float), len(out))
     out["source_size"] = size
     out["target"] = targets(size, weights, plan.share, plan.max_passes)
-    out["block"] = np.clip(-(-size // plan.min_blocks), 1, plan.block_words)
+    most_words = max(plan.block_words, math.ceil(plan.max_passes * float(size.sum()) / MAX_BLOCKS))
+    out["block"] = np.clip(-(-size // plan.min_blocks), 1, most_words)
     out["blocks"] = -(-size // out["block"])
     passes = np.divide(out["target"], size, out=np.zeros(len(out)), where=size > 0)
     most = np.floor(plan.max_passes * out["blocks"])
@@ -196,39 +208,61 @@ def word_spans(text: str, spans: list[tuple[int, int]]) -> list[str]:
 
 
 def mixed_documents(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
-    """The mix as rows like ``docs``: doc_id, text, lang, source, n_chars.
+    """The mix as rows like ``docs``: doc_id, text, lang (if there is one), source, n_chars.
 
     Neighbouring pieces of one pass are put together again, so a document that is drawn
-    whole keeps its whole text; otherwise the text runs from its first to its last word.
+    whole keeps its whole text; otherwise the text runs from its first to its last word. Rows
+    stand shard after shard in the shuffled order of their first blocks: partitions are ranges
+    of (shard, order). Other columns are left out.
     """
     pieces, _ = mix(docs, plan)
     # all pieces of one document: as many as it has blocks, twice
     spans = pieces.groupBy("doc_id", "h", "start").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "first_word", "n_words"))).alias("_spans")
+        F.sort_array(F.collect_list(F.struct("turn", "first_word", "n_words", "shard", "order_key"))).alias("_spans")
     )
     key = F.xxhash64(F.lit(plan.seed), F.col("doc_id"), F.col("source"), F.col("text"))
-    texts = docs.select("doc_id", "text", "lang", "source", key.alias("h")).dropDuplicates(["doc_id", "h"])
+    names = [c for c in ("doc_id", "text", "lang", "source") if c in docs.columns]
+    texts = docs.select(*names, key.alias("h")).dropDuplicates(["doc_id", "h"])
     here = spans.withColumnRenamed("doc_id", "_id").withColumnRenamed("h", "_h")
     joined = texts.join(here, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    joined = joined.select("doc_id", "text", "lang", "source", "_spans")
-
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for doc_id, text, lang, source, found in part.itertuples(index=False):
-                merged: list[list[int]] = []
-                for s in found:
-                    turn, a, b = s["turn"], s["first_word"], s["first_word"] + s["n_words"]
-                    if merged and merged[-1][0] == turn and merged[-1][2] == a:
-                        merged[-1][2] = b
-                    else:
-                        merged.append([turn, a, b])
-                for piece in word_spans(text, [(a, b) for _, a, b in merged]):
-                    rows.append((doc_id, piece, lang, source, len(piece)))
-            out = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"])
-            yield out.astype({"doc_id": "Int64", "n_chars": "int64"})
-
-    return joined.mapInPandas(cut, "doc_id long, text string, lang string, source string, n_chars long")
+    joined = joined.select(*names, "_spans")
+    kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string"}
+    made = [*names, "n_chars", "shard", "order_key"]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", n_chars long, shard int, order_key long"
+
+    def runs(spans: list[dict]) -> list[list[int]]:
+        """First word, end, shard and order of pieces that follow each other in a pass."""
+        out: list[list[int]] = []
+        for s in spans:
+            a, b = s["first_word"], s["first_word"] + s["n_words"]
+            if out and out[-1][4] == s["turn"] and out[-1][1] == a:
+                out[-1][1] = b
+            else:
+                out.append([a, b, s["shard"], s["order_key"], s["turn"]])
+        return out
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, text, n_chars, shard, order, held = [], [], [], [], [], 0
+            for i in range(batch.num_rows):
+                whole, found = batch.column(1)[i].as_py(), runs(batch.column(len(names))[i].as_py())
+                for piece, (_, _, s, o, _) in zip(word_spans(whole, [(r[0], r[1]) for r in found]), found):
+                    row.append(i)
+                    text.append(piece)
+                    n_chars.append(len(piece))
+                    shard.append(s)
+                    order.append(o)
+                    held += len(piece)
+                if held > CUT_BYTES or i == batch.num_rows - 1:
+                    own = [batch.column(k).take(pa.array(row, pa.int64())) for k in range(len(names))]
+                    own[1] = pa.array(text, pa.string())
+                    more = [pa.array(n_chars, pa.int64()), pa.array(shard, pa.int32()), pa.array(order, pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*own, *more], made)
+                    row, text, n_chars, shard, order, held = [], [], [], [], [], 0
+
+    rows = joined.mapInArrow(cut, schema)
+    ordered = rows.repartitionByRange("shard", "order_key").sortWithinPartitions("shard", "order_key", "doc_id", "n_chars")
+    return ordered.drop("shard", "order_key")
 
 
 def run(spark, sf: str) -> DataFrame:

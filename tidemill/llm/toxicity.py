@@ -43,7 +43,6 @@ class FitPlan:
     longest: int = 12
     min_texts: int = 3
     evidence: tuple[tuple[float, float], ...] = ((3.5, 2.5), (1.8, 5.0))  # log ratio and its z
-    calibration_docs: int = 3_000
     seed: int = 0
 
 
@@ -234,20 +233,21 @@ def fit(docs: DataFrame, labels: DataFrame, plan: FitPlan = FitPlan()) -> Toxici
     ordinary = ordinary_content(good, plan)
     found = toxic_content(stems(bad, good, plan), plan)
     savings = Savings(ordinary, found)
-    some = [i for label in (0, 1) for i in np.flatnonzero(toxic == label)[: plan.calibration_docs]]
-    x = np.array([savings.features(text[i], plan.window_words) for i in some])
-    weights = calibrate(x, (toxic[some] == 1).astype(float))
+    x = np.array([savings.features(t, plan.window_words) for t in text])
+    weights = calibrate(x, (toxic == 1).astype(float))
     return ToxicityModel(ordinary, found, plan.window_words, weights)
 
 
-def score(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel, columns: list[str], text: str = "text") -> DataFrame:
     """``columns`` of the documents, ``score`` between 0 and 1, and ``predicted``.
 
     The whole text is read; a NULL or blank text has one empty window and gets the score of
     no saving. Every row gets a row. Names other than those asked for do not matter.
     """
-    slim = docs.select(*columns, F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_raw"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
+    names = columns if text in columns else [*columns, text]  # a text goes to Python once
+    slim, at = docs.select(*names), names.index(text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[: len(columns)])
+    raw = lambda v: v.as_buffer().to_pybytes() if v.is_valid else b""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         savings = None if model.prior is not None else Savings(model.ordinary, model.toxic)
@@ -255,7 +255,7 @@ def score(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFram
             if savings is None:
                 points = np.full(batch.num_rows, model.prior)
             else:
-                x = [savings.features(v.as_py(), model.window_words) for v in batch.column(len(columns))]
+                x = [savings.features(raw(v), model.window_words) for v in batch.column(at)]
                 z = model.weights[0] + np.array(x).reshape(-1, len(model.weights) - 1) @ np.array(model.weights[1:])
                 points = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             made = pa.array(points)
@@ -278,8 +278,8 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, plan: FitPlan = FitPlan())
 def remove_toxic(docs: DataFrame, labels: DataFrame, plan: FitPlan = FitPlan()) -> DataFrame:
     """Rows of ``docs`` that are not predicted toxic, with all their columns."""
     numbered = {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}  # no name can clash
-    rows = docs.select(*[c.alias(k) for k, c in numbered.items()], F.col("text").alias("text"))
-    scored = score(rows, fit_on_labels(docs, labels, plan), list(numbered))
+    rows = docs.select(*[c.alias(k) for k, c in numbered.items()])
+    scored = score(rows, fit_on_labels(docs, labels, plan), list(numbered), f"c{docs.columns.index('text')}")
     return scored.where("predicted = 0").select(*[F.col(k).alias(c) for k, c in zip(numbered, docs.columns)])
 
 
