@@ -20,7 +20,8 @@ from pyspark.sql.window import Window
 class ChatTemplate:
     """``before`` and ``after``: the text around a turn, ``{role}`` being its role. ``learn``: roles whose text is learned. ``follows``: for each
     state (the last role, or ``start``), the roles that may come next. ``last``: roles a
-    conversation may end on. ``control``: strings that texts must not contain as they are.
+    conversation may end on. ``control``: strings that texts must not contain as they are,
+    besides the template's own marks, which are always escaped.
     """
 
     before: str = "<|turn|>{role}<|text|>"
@@ -37,10 +38,21 @@ class ChatTemplate:
     last: tuple[str, ...] = ("assistant",)
     control: tuple[str, ...] = ("<|turn|>", "<|text|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]")
 
+    def __post_init__(self) -> None:
+        if self.before.count("{role}") != 1 or not self.after or any(len(c) < 2 for c in self.marks()):
+            raise ValueError("a template needs one {role}, a mark after a turn, and marks of two characters or more")
+
+    def marks(self) -> tuple[str, ...]:
+        """All strings that are escaped: ``control`` and the template's own marks."""
+        own = [*self.before.split("{role}"), self.after]
+        return tuple(dict.fromkeys([*self.control, *[m for m in own if m]]))
+
 
 def escape(text: Column, control: tuple[str, ...]) -> Column:
     """Doubles backslashes and puts one after the first character of each control string."""
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    if not control:
+        return out
     any_of = "|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in control)
     return F.regexp_replace(out, f"({any_of})", "$1\\\\")
 
@@ -72,10 +84,10 @@ def segments(turns: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataF
     final = F.lead("role").over(order).isNull()
     before, after = template.before.split("{role}")
     flag = F.col("role").isin(list(template.learn))
-    role = escape(F.col("role"), template.control)
+    role = escape(F.col("role"), template.marks())
     parts = F.array(
         F.struct(F.concat(F.lit(before), role, F.lit(after)).alias("text"), F.lit(False).alias("loss")),
-        F.struct(escape(F.col("text"), template.control).alias("text"), flag.alias("loss")),
+        F.struct(escape(F.col("text"), template.marks()).alias("text"), flag.alias("loss")),
         F.struct(F.lit(template.after).alias("text"), F.lit(False).alias("loss")),
     )
     return rows.select(

@@ -49,3 +49,14 @@ def bucket_bits(rows: int) -> int:
     """Bits of a hash so that a bucket holds ``ROWS_PER_BUCKET`` rows at most, and a hot group
     falls into many buckets even where rows are few."""
     return max(8, math.ceil(math.log2(max(rows, 1) / ROWS_PER_BUCKET + 1)))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes to be none of ``df``'s."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import ascii_lower, keep
+from tidemill.llm.common import ascii_lower, free_names, keep
 
 WINDOW = 13
 SHINGLE = 3
@@ -163,10 +163,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), "digest").distinct()
-    rows = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit(""))))
-    match = (F.col("_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return rows.join(bad, match, "left_anti").drop("_digest")
+    doc, digest = free_names(docs, "_id", "_digest")
+    bad = contamination(docs, benchmark).where("contaminated")
+    bad = bad.select(F.col("doc_id").alias(doc), F.col("digest").alias(digest)).distinct()
+    match = (F.md5(F.coalesce("text", F.lit(""))) == F.col(digest)) & F.col("doc_id").eqNullSafe(F.col(doc))
+    return docs.join(bad, match, "left_anti")
 
 
 def run(spark, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemill.functions.ranking import repeat_rows
-from tidemill.llm.common import bucket_bits, keep
+from tidemill.llm.common import bucket_bits, free_names, keep
 
 ROUNDS = 8
 WALK = 64
@@ -84,11 +84,13 @@ def number_rows(df: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
 
     Rows are numbered by a hash of all their columns. Equal rows are counted first and get
     their numbers as a range, so a row that repeats very often never meets in one task;
-    hash buckets bound every other task. Column names starting with ``_`` are reserved.
+    hash buckets bound every other task. A column ``row_number`` of ``df`` is replaced.
     """
-    columns = df.columns
-    names = [F.col(f"`{c}`") for c in columns]
-    counted = df.groupBy(*names).agg(F.count("*").alias("_copies"))
+    columns = [c for c in df.columns if c.lower() != "row_number"]
+    inner = [f"c{i}" for i in range(len(columns))]  # no name can clash with the ones used here
+    names = [F.col(c) for c in inner]
+    counted = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(columns, inner)])
+    counted = counted.groupBy(*names).agg(F.count("*").alias("_copies"))
     rows = keep(counted.withColumn("_h", F.xxhash64(F.lit(seed), *names)), "numbered")
     found = rows.agg(F.count("*").alias("d"), F.sum("_copies").alias("n")).first()
     bits, total = bucket_bits(found["d"]), int(found["n"] or 0)
@@ -107,7 +109,8 @@ def number_rows(df: DataFrame, seed: int = 0) -> tuple[DataFrame, int]:
     first = F.col("_start") + F.coalesce(F.sum("_copies").over(inside), F.lit(0))
     numbered = rows.join(starts, "_bucket").withColumn("_first", first)
     each = repeat_rows(numbered, F.col("_copies"), "_copy_no")
-    return each.select(*names, (F.col("_first") + F.col("_copy_no") - 1).alias("row_number")), total
+    numbers = (F.col("_first") + F.col("_copy_no") - 1).alias("row_number")
+    return each.select(*[n.alias(c) for n, c in zip(names, columns)], numbers), total
 
 
 def assign_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
@@ -116,19 +119,16 @@ def assign_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
 
     The row number of any shard and slot is ``unpermute(slot * shards + shard, n, seed)``.
     NULLs take part as values, repeated rows each get a slot, an empty table stays empty.
+    Columns of ``df`` with these three names are replaced.
     Pass a narrow table (keys, not texts): all its columns are hashed and compared.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
-    rows, n = number_rows(df, seed)
-    at = permute(F.col("row_number"), F.lit(max(n, 1)), F.lit(seed))
-    placed = rows.withColumn("_at", at)
-    return placed.withColumns(
-        {
-            "shard": F.pmod("_at", F.lit(shards)).cast("int"),
-            "slot": F.floor(F.col("_at") / shards).cast("long"),
-        }
-    ).drop("_at")
+    rows, n = number_rows(df.drop("shard", "slot"), seed)
+    (at,) = free_names(rows, "_at")
+    placed = rows.withColumn(at, permute(F.col("row_number"), F.lit(max(n, 1)), F.lit(seed)))
+    shard, slot = F.pmod(at, F.lit(shards)).cast("int"), F.floor(F.col(at) / shards).cast("long")
+    return placed.withColumns({"shard": shard, "slot": slot}).drop(at)
 
 
 def source_row(shard: int, slot: int, shards: int, n: int, seed: int = 0) -> Column:

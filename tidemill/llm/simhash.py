@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import keep
+from tidemill.llm.common import free_names, keep
 from tidemill.llm.components import components
 
 SHINGLE = 4
@@ -321,8 +321,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     # the component is named after the order key of the row that stays
     chosen = marked.withColumn("_key", _order(F.col("doc_id"), F.col("_h"))).join(labels, "fp")
     chosen = chosen.where(F.col("_key") == F.col("component_id")).select(_name("doc_id"), "_h").distinct()
-    rows = docs.withColumns({"_name": _name("doc_id"), "_h": F.xxhash64("text")})
-    kept = rows.join(chosen, ["_name", "_h"]).dropDuplicates(["_name", "_h"])
+    name, h = free_names(docs, "_name", "_h")
+    chosen = chosen.withColumnsRenamed({"_name": name, "_h": h})
+    rows = docs.withColumns({name: _name("doc_id"), h: F.xxhash64("text")})
+    kept = rows.join(chosen, [name, h]).dropDuplicates([name, h])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
