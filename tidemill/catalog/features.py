@@ -49,6 +49,61 @@ def prepare_xy(spark, sf):
     return rounded(plan.apply(d, ["event_id"]), ["value"])
 
 
+_ORDERS = """c AS (SELECT *, 'o' || l_orderkey AS o FROM lineitem),
+d AS (SELECT o, row_number() OVER (ORDER BY o) - 1 AS code FROM (SELECT DISTINCT o FROM c))"""
+
+
+def _with_orders(spark, sf):
+    """Line items with their order as a text: a category of a quarter as many values as rows."""
+    order = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))
+    return table(spark, sf, "lineitem").select(*LINEITEM_KEY, "l_quantity", "l_returnflag", order.alias("o"))
+
+
+@query(
+    "label_codes_many",
+    """SELECT DISTINCT 'o' || l_orderkey AS "value", dense_rank() OVER (ORDER BY l_orderkey) - 1 AS code FROM lineitem""",
+)
+def label_codes_many(spark, sf):
+    return prepare.label_codes(_with_orders(spark, sf), "o", ["l_orderkey"])
+
+
+@query(
+    "prepare_sparse",
+    f"""WITH {_ORDERS}
+SELECT {_KEY}, (SELECT count(*) FROM d) AS width, CASE WHEN code > 0 THEN 2 ELSE 1 END AS n, CASE WHEN code > 0 THEN code ELSE 0 END AS place,
+  l_quantity AS quantity, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS label FROM c JOIN d USING (o)""",
+)
+def prepare_sparse(spark, sf):
+    """One number and a block of places for the orders but the first; a text label."""
+    rows = _with_orders(spark, sf)
+    plan = prepare.fit_prepare(rows, "l_returnflag", key=LINEITEM_KEY, order="alphabet", sparse=True)
+    f = F.col("features")
+    return plan.apply(rows, LINEITEM_KEY).select(
+        *LINEITEM_KEY, f["size"].cast("bigint").alias("width"), F.size(f["indices"]).alias("n"),
+        F.array_max(f["indices"]).cast("bigint").alias("place"), f["values"][0].alias("quantity"), "label",
+    )
+
+
+@query(
+    "transform_sparse",
+    f"""WITH {_ORDERS}, seen AS (SELECT o, row_number() OVER (ORDER BY o) - 1 AS code FROM (SELECT DISTINCT o FROM c WHERE l_quantity > 10)),
+m AS (SELECT min(l_quantity) AS a, max(l_quantity) - min(l_quantity) AS w FROM c WHERE l_quantity > 10)
+SELECT {_KEY}, round((l_quantity - a) / w, 6) AS quantity, CAST(coalesce(code, -1) AS DOUBLE) AS o, l_returnflag
+FROM c LEFT JOIN seen USING (o), m""",
+)
+def transform_sparse(spark, sf):
+    """Scaled numbers and order codes, fitted on some rows and applied to all of them."""
+    rows = _with_orders(spark, sf)
+    plan = features.fit_transformer(
+        rows.where("l_quantity > 10"), ["l_quantity"], ["o"], categorical_encoding="ordinal",
+        scaling="minmax", remainder="passthrough", sparse=True,
+    )
+    out = plan.apply(rows, LINEITEM_KEY)
+    f = F.col("features")
+    value = lambda i: F.coalesce(F.get(f["values"], F.array_position(f["indices"], i).cast("int") - 1), F.lit(0.0))
+    return rounded(out.select(*LINEITEM_KEY, value(0).alias("quantity"), value(1).alias("o"), "l_returnflag"), ["quantity"])
+
+
 def _scale_sql(offset: str, scale: str) -> str:
     cells = ", ".join(
         f"round(({c} - {offset.format(c=c)}) / (SELECT CASE WHEN s = 0 THEN 1 ELSE s END FROM (SELECT {scale.format(c=c)} AS s FROM lineitem)), 6) AS {c}"

@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,6 +191,12 @@ def _facts(df: DataFrame, name: str, label: str, classes, features) -> Facts:
     return Facts(row["n"], len(classes or []), len(features), std)
 
 
+def _feature(df: DataFrame, name: str) -> Column:
+    """A number as a double; a vector as it is."""
+    vector = isinstance(df.schema[name].dataType, VectorUDT)
+    return col(name) if vector else col(name).cast("double").alias(name)
+
+
 def _fit_spark(df: DataFrame, estimator, features: Sequence[str], y: Column) -> PipelineModel:
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
     columns = {
@@ -204,6 +211,6 @@ def _fit_spark(df: DataFrame, estimator, features: Sequence[str], y: Column) ->
     if estimator.hasParam("classifier"):  # one against the rest reads its parts' raw scores
         estimator.getClassifier().setRawPredictionCol("_raw")
     settings = {estimator.getParam(n): c for n, c in columns.items() if estimator.hasParam(n)}
-    slim = spread_small(df.select(*[col(f).cast("double").alias(f) for f in features], y.alias("_y")))
+    slim = spread_small(df.select(*[_feature(df, f) for f in features], y.alias("_y")))
     rows = assembler.transform(slim).select("_features", "_y")
     return PipelineModel([assembler, estimator.fit(rows, settings)])

@@ -167,14 +167,17 @@ def fit_transformer(
     scaling: str = "standard",
     remainder: str = "drop",
     approx: bool = False,
-) -> TransformPlan:
+    sparse: bool = False,
+):
+    """A fitted :class:`TransformPlan`; with ``sparse`` a ``SparsePlan``, whose categories are
+    written tables without a limit and whose output is one sparse vector."""
     numeric, categorical = list(numeric_columns), list(categorical_columns)
     if categorical_encoding not in ("one_hot", "ordinal"):
         raise ValueError(f"no categorical encoding {categorical_encoding!r}: one_hot or ordinal")
     if remainder not in ("drop", "passthrough"):
         raise ValueError("remainder must be 'drop' or 'passthrough'.")
     if not numeric and not categorical:
-        raise ValueError("nothing to transform: At least one numeric or text column has to be named")
+        raise ValueError("nothing to transform. At least one column has to be named")
     require_columns(df, [*numeric, *categorical])
     fills: dict[str, Any] = {}
     if numeric:
@@ -183,6 +186,14 @@ def fit_transformer(
         fills.update(fit_fill(df, categorical, categorical_imputation, "missing"))
     filled = apply_fill(df, fills)
     scales = fit_scaler(filled, numeric, scaling, approx)
+    passed = [c for c in df.columns if c not in {*numeric, *categorical}] if remainder == "passthrough" else []
+    if sparse:
+        from tidemill.plans.sparse import SparsePlan, fit_tables
+
+        return SparsePlan(
+            [*numeric, *categorical], numeric, fit_tables(filled, categorical), fills,
+            {c: list(s) for c, s in scales.items()}, drop_first=False, ordinal=categorical_encoding == "ordinal", passed=passed,
+        )
     limit = DUMMY_LIMIT if categorical_encoding == "one_hot" else 10_000
     return TransformPlan(
         numeric=numeric,
@@ -192,9 +203,7 @@ def fit_transformer(
         encoding=categorical_encoding,
         categories=distinct_values(filled, categorical, limit) if categorical else {},
         remainder=remainder,
-        passed=[c for c in df.columns if c not in {*numeric, *categorical}]
-        if remainder == "passthrough"
-        else [],
+        passed=passed,
     )
 
 

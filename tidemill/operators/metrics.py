@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import col
+from tidemill.session import written
 
-SCORE_BUCKETS = 128
+CUT_SCORES = 100_000
 
 
 def _grouping(by: str | None) -> Column:
@@ -83,25 +84,14 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: str | Non
     return sums.select("by", "mse", F.sqrt("mse").alias("rmse"), "mae", r2.alias("r2"))
 
 
-def _bucket(score: Column, marks: Sequence[float], low: int = 0, high: int | None = None) -> Column:
-    """Number of marks below ``score``, by a binary decision of literals."""
-    high = len(marks) if high is None else high
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(score <= F.lit(marks[mid]), _bucket(score, marks, low, mid)).otherwise(
-        _bucket(score, marks, mid + 1, high)
-    )
-
-
 def roc_auc(
     df: DataFrame, actual: str, score: str, positive=1, by: str | None = None
 ) -> DataFrame:
     """``by, roc_auc``: share of (positive, negative) pairs in the right order, ties half.
 
-    Rows are first merged per score. Scores are then cut at sketched quantiles; running
-    counts are taken inside a cut, and the few cut totals are put together at the end.
-    NULL when only one class is present.
+    Rows are first merged per score. The scores are then dealt into ranges of about
+    ``CUT_SCORES``, as many as it takes; running counts are taken inside a range, and the
+    ranges' totals, one row each, are put together at the end. NULL when only one class is present.
     """
     rows = df.select(
         _grouping(by),
@@ -113,34 +103,30 @@ def roc_auc(
 
 def _auc(rows: DataFrame) -> DataFrame:
     rows = rows.where(F.col("s").isNotNull())
-    probs = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
-    marks = sorted(set(rows.agg(F.percentile_approx("s", probs, 1000).alias("m")).first()["m"] or []))
     merged = rows.groupBy("by", "s").agg(
         F.sum("pos").alias("pos"), (F.count("*") - F.sum("pos")).alias("neg")
     )
-    cut = merged.withColumn("cut", _bucket(F.col("s"), marks))
+    different = rows.agg(F.approx_count_distinct(F.struct("by", "s")).alias("n")).first()["n"]
+    cuts = -(-different // CUT_SCORES)
+    if cuts > 1:
+        # written, so that a range's number is the same wherever it is read
+        ranged = merged.repartitionByRange(cuts, "by", "s").withColumn("cut", F.spark_partition_id())
+        cut = written(ranged, "scores")
+    else:
+        cut = merged.withColumn("cut", F.lit(0))
     before = W.partitionBy("by", "cut").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
     ranked = cut.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
     inner = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
     totals = ranked.groupBy("by", "cut").agg(
         inner.alias("inner"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
-    listed = totals.groupBy("by").agg(
-        F.sort_array(F.collect_list(F.struct("cut", "inner", "pos", "neg"))).alias("cuts"),
-        F.sum("pos").cast("double").alias("p"),
-        F.sum("neg").cast("double").alias("n"),
-    )
-    start = F.struct(F.lit(0.0).alias("won"), F.lit(0.0).alias("neg"))
-    won = F.aggregate(
-        "cuts",
-        start,
-        lambda acc, c: F.struct(
-            (acc["won"] + c["inner"] + c["pos"] * acc["neg"]).alias("won"),
-            (acc["neg"] + c["neg"].cast("double")).alias("neg"),
-        ),
-        lambda acc: acc["won"],
+    # one row per range
+    lower = F.sum("neg").over(W.partitionBy("by").orderBy("cut").rowsBetween(W.unboundedPreceding, -1))
+    won = totals.withColumn("won", F.col("inner") + F.col("pos") * F.coalesce(lower, F.lit(0)).cast("double"))
+    sums = won.groupBy("by").agg(
+        F.sum("won").alias("won"), F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n")
     )
-    return listed.select("by", F.try_divide(won, F.col("p") * F.col("n")).alias("roc_auc"))
+    return sums.select("by", F.try_divide("won", F.col("p") * F.col("n")).alias("roc_auc"))
 
 
 def roc_auc_weighted(
@@ -156,16 +142,13 @@ def roc_auc_weighted(
         for i, c in enumerate(classes)
     ]
     rows = df.select(_grouping(by).alias("outer"), F.inline(F.array(*cells)))
-    keyed = rows.select(F.struct("outer", "class").alias("by"), "s", "pos").persist()
-    try:
-        support = keyed.groupBy("by").agg(F.sum("pos").cast("double").alias("w"))
-        joined = _auc(keyed).join(support, "by")
-        valid = F.count_if(F.col("roc_auc").isNull()) == 0
-        mean = F.sum(F.col("roc_auc") * F.col("w")) / F.sum("w")
-        found = joined.groupBy(F.col("by.outer").alias("outer")).agg(F.when(valid, mean).alias("roc_auc"))
-        return found.select(F.col("outer").alias("by"), "roc_auc")
-    finally:
-        keyed.unpersist()
+    keyed = rows.select(F.struct("outer", "class").alias("by"), "s", "pos")
+    support = keyed.groupBy("by").agg(F.sum("pos").cast("double").alias("w"))
+    joined = _auc(keyed).join(support, "by")
+    valid = F.count_if(F.col("roc_auc").isNull()) == 0
+    mean = F.sum(F.col("roc_auc") * F.col("w")) / F.sum("w")
+    found = joined.groupBy(F.col("by.outer").alias("outer")).agg(F.when(valid, mean).alias("roc_auc"))
+    return found.select(F.col("outer").alias("by"), "roc_auc")
 
 
 def evaluate(

@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 
 from tidemill.functions.columns import col, is_number, require_columns, type_of
 from tidemill.functions.numbers import parse_number
+from tidemill.operators.codes import fit_codes
 from tidemill.operators.features import code_map, dummy_columns, fit_dummies
 from tidemill.operators.missing import apply_fill, fit_auto_fill
 from tidemill.operators.profile import MAX_VALUES
 from tidemill.operators.rows import empty_columns
+from tidemill.plans.sparse import SparsePlan, fit_tables
 
 TASKS = ("classification", "regression")
 
@@ -78,9 +80,7 @@ class PreparePlan:
 
 def label_codes(df: DataFrame, target: str, key: Sequence[str], order: str = "first") -> DataFrame:
     """``value, code``: 0, 1, 2 ... by first appearance in ``key`` order, or alphabetically."""
-    values = fit_label_codes(df, target, key, order)
-    rows = [(v, i) for i, v in enumerate(values)]
-    return df.sparkSession.createDataFrame(rows, "value string, code bigint")
+    return fit_codes(df, target, order, key).read(df.sparkSession)
 
 
 def fit_label_codes(df: DataFrame, target: str, key: Sequence[str], order: str = "first") -> list[str]:
@@ -109,13 +109,18 @@ def fit_prepare(
     order: str = "first",
     keep_missing_label: bool = False,
     approx: bool = False,
-) -> PreparePlan:
+    sparse: bool = False,
+) -> PreparePlan | SparsePlan:
     """Learns fills, categories and label codes. ``key`` columns identify rows and are
-    not features unless they are left out of ``key``; ``drop`` names columns to ignore."""
+    not features unless they are left out of ``key``; ``drop`` names columns to ignore.
+
+    With ``sparse``, features are sparse vectors and categories and classes are written
+    tables, so that their number has no limit.
+    """
     if task not in TASKS:
         raise ValueError(f"task must be classification or regression, got {task!r}")
     if target not in df.columns:
-        raise KeyError(f"Target column not found: {target!r}. Columns: {df.columns}")
+        raise KeyError(f"Target column {target!r} is not one of {df.columns}")
     unused = {target, *key, *[c for c in drop if c in df.columns]}
     empty = set(empty_columns(df, keep=list(unused)))
     inputs = [c for c in df.columns if c not in unused and c not in empty]
@@ -131,11 +136,17 @@ def fit_prepare(
     table = df.select(*[col(c) for c in inputs])
     fills = fit_auto_fill(table, approx=approx, keep_all=True)
     categorical = [c for c in inputs if not is_number(type_of(df, c))]
-    values = fit_dummies(apply_fill(table, fills), categorical) if categorical else {}
+    filled = apply_fill(table, fills)
+    values = fit_dummies(filled, categorical) if categorical and not sparse else {}
     numeric_label = is_number(type_of(df, target))
     if numeric_label or not keep_missing_label:
         if not df.where(col(target).isNull()).isEmpty():
             raise ValueError(f"The target {target!r} has missing values.")
+    if sparse:
+        return SparsePlan(
+            inputs, [c for c in inputs if c not in set(categorical)], fit_tables(filled, categorical), fills,
+            target=target, task=task, classes=None if numeric_label else fit_codes(df, target, order, key),
+        )
     classes = None if numeric_label else fit_label_codes(df, target, key, order)
     features = [c for c in inputs if c not in values]
     for c in categorical:

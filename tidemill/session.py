@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it back, so that it is computed once
+    and what is read later is what was written."""
+    path = shared_path(df.sparkSession, name) if path is None else path
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """A small table over all cores before it is read many times.
 
