@@ -14,7 +14,7 @@ from tidemill.catalog.base import (
     table,
 )
 from tidemill.operators import missing, outliers, rows, scalars
-from tidemill.plans.chain import apply_operations, audit
+from tidemill.plans.chain import apply_operations, audit_once, fit_chain
 
 _FILLED = "event_id, ts, user_id, event_type, round({value}, 6) AS value, props"
 
@@ -444,6 +444,7 @@ SELECT * FROM (
   UNION ALL SELECT 6, 'drop_columns', d, 6, 0, -2 FROM n)""",
 )
 def chain_audit(spark, sf):
-    out = audit(events_dirty(spark, sf), CHAIN, ["event_id"])
+    dirty = events_dirty(spark, sf)
+    out = audit_once(dirty, fit_chain(dirty, CHAIN, ["event_id"])[0])
     longs = {c: F.col(c).cast("bigint") for c in ("step", "cols", "col_change")}
     return out.withColumns(longs).drop("args")

@@ -1,8 +1,9 @@
 """Adaptive boosting over small trees.
 
-Each fitted tree is turned into a column expression. The weight of a row after m rounds
-is then a closed expression of the row itself, so a round reads the same cached table
-every time: the plan does not grow on its own output and nothing needs a checkpoint.
+Each fitted tree is turned into a column expression. The logarithm of a row's weight is a
+stored column and what the rounds since then have added to it; every ``KEPT_ROUNDS`` rounds it is
+written anew, so that the plan of a round is as large in round 50 as in round 5. Weights
+are taken relative to the largest one, so that no number of rounds makes them overflow or vanish.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import col
+from tidemill.session import written
 
+KEPT_ROUNDS = 4
 _LINE = re.compile(r"^(\s*)(If|Else|Predict:)\s*(?:\(feature (\d+) (<=|>) (\S+)\)|(\S+))")
 
 
@@ -57,6 +60,27 @@ def _fit_tree(rows: DataFrame, features: Sequence[str], weight: Column, learner)
     return read_tree(learner.fit(assembled.select("_x", "_y", "_w")).toDebugString)
 
 
+class _Weights:
+    """Rows with the logarithm of their weights: a stored part and what came since."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows, self.stored, self.added, self.rounds = rows, F.lit(0.0), F.lit(0.0), 0
+        self.top = 0.0  # no logarithm is above it
+
+    @property
+    def weight(self) -> Column:
+        return F.exp(self.stored + self.added - F.lit(self.top))
+
+    def add(self, amount: Column, most: float) -> None:
+        """Adds ``amount`` to every row, ``most`` at most."""
+        self.added, self.top, self.rounds = self.added + amount, self.top + most, self.rounds + 1
+        if self.rounds % KEPT_ROUNDS == 0:
+            raised = (self.stored + self.added).alias("_raised")
+            self.rows = written(self.rows.select(*[col(c) for c in self.rows.columns if c != "_raised"], raised), "weights")
+            self.stored, self.added = F.col("_raised"), F.lit(0.0)
+            self.top = self.rows.agg(F.max("_raised")).first()[0]
+
+
 def fit_adaboost_classifier(
     rows: DataFrame, features: Sequence[str], classes: int, rounds: int, rate: float, seed: int
 ) -> dict[str, Any]:
@@ -64,13 +88,11 @@ def fit_adaboost_classifier(
     learner = DecisionTreeClassifier(
         featuresCol="_x", labelCol="_y", weightCol="_w", maxDepth=1, seed=seed, maxBins=64
     )
-    trees, alphas = [], []
-    raised = F.lit(0.0)
+    trees, alphas, weights = [], [], _Weights(rows)
     for _ in range(rounds):
-        weight = F.exp(raised)
-        tree = _fit_tree(rows, features, weight, learner)
+        tree = _fit_tree(weights.rows, features, weights.weight, learner)
         missed = (tree_value(tree, features) != F.col("_y")).cast("double")
-        sums = rows.agg(F.sum(weight * missed).alias("bad"), F.sum(weight).alias("all")).first()
+        sums = weights.rows.agg(F.sum(weights.weight * missed).alias("bad"), F.sum(weights.weight).alias("all")).first()
         error = sums["bad"] / sums["all"]
         if error <= 0:
             trees.append(tree)
@@ -81,7 +103,7 @@ def fit_adaboost_classifier(
         alpha = rate * (math.log((1 - error) / error) + math.log(classes - 1))
         trees.append(tree)
         alphas.append(alpha)
-        raised = raised + F.lit(alpha) * missed
+        weights.add(F.lit(alpha) * missed, alpha)
     if not trees:
         raise ValueError("the first tree is no better than chance")
     return {"trees": trees, "weights": alphas}
@@ -116,30 +138,28 @@ def fit_adaboost_regressor(
     learner = DecisionTreeRegressor(
         featuresCol="_x", labelCol="_y", weightCol="_w", maxDepth=3, seed=seed, maxBins=64
     )
-    trees, weights = [], []
-    lowered = F.lit(0.0)
+    trees, votes, weights = [], [], _Weights(rows)
     for _ in range(rounds):
-        weight = F.exp(lowered)
-        tree = _fit_tree(rows, features, weight, learner)
+        tree = _fit_tree(weights.rows, features, weights.weight, learner)
         miss = F.abs(tree_value(tree, features) - F.col("_y"))
-        sums = rows.agg(
-            F.max(miss).alias("worst"), F.sum(weight * miss).alias("bad"), F.sum(weight).alias("all")
+        sums = weights.rows.agg(
+            F.max(miss).alias("worst"), F.sum(weights.weight * miss).alias("bad"), F.sum(weights.weight).alias("all")
         ).first()
         if not sums["worst"]:
             trees.append(tree)
-            weights.append(1.0)
+            votes.append(1.0)
             break
         loss = sums["bad"] / sums["all"] / sums["worst"]
         if loss >= 0.5:
             if not trees:
                 trees.append(tree)
-                weights.append(1.0)
+                votes.append(1.0)
             break
         beta = loss / (1 - loss)
         trees.append(tree)
-        weights.append(rate * math.log(1 / beta))
-        lowered = lowered + F.lit(rate * math.log(beta)) * (1 - miss / F.lit(sums["worst"]))
-    return {"trees": trees, "weights": weights}
+        votes.append(rate * math.log(1 / beta))
+        weights.add(F.lit(rate * math.log(beta)) * (1 - miss / F.lit(sums["worst"])), 0.0)
+    return {"trees": trees, "weights": votes}
 
 
 def score_adaboost_regressor(df: DataFrame, features: Sequence[str], model: dict[str, Any]) -> DataFrame:

@@ -115,11 +115,14 @@ def _tree(p, f: Facts):
         "seed": _seed(p),
         "maxBins": BINS,
     }
-    if f.classes:
-        gini = p["criterion"] == "gini"
-        return C.DecisionTreeClassifier(impurity="gini" if gini else "entropy", **common)
-    f.ignore(p, {"criterion": "squared_error"})
-    return R.DecisionTreeRegressor(**common)
+    if not f.classes:
+        f.ignore(p, {"criterion": "squared_error"})
+    else:
+        common["impurity"] = "gini" if p["criterion"] == "gini" else "entropy"
+    if p["max_features"] is not None:  # a forest of one tree draws features at every node
+        one = {"numTrees": 1, "bootstrap": False, "featureSubsetStrategy": _subset(p["max_features"])}
+        return (C.RandomForestClassifier if f.classes else R.RandomForestRegressor)(**common, **one)
+    return (C.DecisionTreeClassifier if f.classes else R.DecisionTreeRegressor)(**common)
 
 
 def _forest(p, f: Facts, **more):
@@ -139,9 +142,14 @@ def _random_forest(p, f: Facts):
     )
 
 
-def _extra_trees(p, f: Facts):
-    f.notes.append("thresholds are searched, not drawn at random")
-    return _random_forest({**p, "bootstrap": False}, f)
+def extra_forest(p, f: Facts, trees: int, seed: int) -> Estimator:
+    """Trees over cut points that were drawn beforehand, so there is nothing to search."""
+    f.ignore(p, {"min_samples_split": 2.0})
+    settings = {
+        "numTrees": trees, "seed": seed, "maxBins": BINS, "maxDepth": _depth(p["max_depth"], f),
+        "bootstrap": p["bootstrap"], "featureSubsetStrategy": _subset(p["max_features"]),
+    }
+    return (C.RandomForestClassifier if f.classes else R.RandomForestRegressor)(**settings)
 
 
 def _bagging(p, f: Facts):
@@ -248,6 +256,8 @@ def _mlp(p, f: Facts):
     if p["activation"] != "logistic":
         f.notes.append(f"activation {p['activation']!r} was replaced by 'logistic'")
     f.ignore(p, {"alpha": 0.0})
+    if p["solver"] != "lbfgs":
+        f.notes.append(f"solver {p['solver']!r} was replaced by 'lbfgs', which takes no learning_rate_init")
     layers = [f.features, *hidden_layers(p["hidden_layer_sizes"]), max(f.classes, 2)]
     return C.MultilayerPerceptronClassifier(layers=layers, maxIter=p["max_iter"], seed=_seed(p))
 
@@ -262,8 +272,6 @@ ESTIMATORS: dict[str, Callable[[dict[str, Any], Facts], Estimator]] = {
     "decision_tree_regressor": _tree,
     "random_forest_classifier": _random_forest,
     "random_forest_regressor": _random_forest,
-    "extra_trees_classifier": _extra_trees,
-    "extra_trees_regressor": _extra_trees,
     "bagging_classifier": _bagging,
     "bagging_regressor": _bagging,
     "gradient_boosting_classifier": _gradient_boosting,

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import col, require_columns
-from tidemill.models import adaboost, bayes, neighbours
+from tidemill.models import adaboost, bayes, extra_trees, neighbours
 from tidemill.models.estimators import ESTIMATORS, NEEDS_LABEL_STD, SEED, Facts
 from tidemill.models.registry import check_params
 from tidemill.session import spread_small, use_checkpoints
@@ -53,6 +53,14 @@ class FittedModel:
         if self.name.startswith("knn"):
             return self._neighbours(df)
         scored = self.spark_model.transform(df)
+        if self.name.startswith("extra_trees"):
+            told = extra_trees.mean_prediction(self.spark_model, len(self.classes or []))
+            kept = [col(c) for c in df.columns]
+            if self.task == "regression":
+                return scored.select(*kept, told.alias("prediction"))
+            voted = scored.select(*kept, told.alias("probability"))
+            code = F.array_position("probability", F.array_max("probability")).cast("int") - 1
+            return self._named(voted.withColumn("_code", code))
         if self.task == "regression":
             return scored.select(*[col(c) for c in df.columns], F.col("_prediction").alias("prediction"))
         if "_probability" in scored.columns:
@@ -74,7 +82,8 @@ class FittedModel:
 
     def _neighbours(self, df: DataFrame) -> DataFrame:
         p = {"manhattan": 1, "euclidean": 2}.get(self.params["metric"], self.params["p"])
-        found = neighbours.nearest(df, self.features, self.train, self.params["n_neighbors"], p)
+        approx = self.params.get("approx", False)
+        found = neighbours.nearest(df, self.features, self.train, self.params["n_neighbors"], p, approx=approx)
         if self.task == "regression":
             return found.withColumn(
                 "prediction", neighbours.mean("_near", self.params["weights"])
@@ -160,6 +169,15 @@ def fit_model(
             rows.unpersist()
         return model
     facts = _facts(df, name, label, classes, features)
+    if name.startswith("extra_trees"):
+        rows = df.select(*[col(f).cast("double").alias(f) for f in features], y.alias("_y"))
+        rows, seed = spread_small(rows).persist(), SEED if full["random_state"] is None else full["random_state"]
+        try:
+            model.spark_model = extra_trees.fit_extra_trees(rows, features, full, facts, seed)
+        finally:
+            rows.unpersist()
+        model.notes = facts.notes
+        return model
     estimator = ESTIMATORS[name](full, facts)
     model.notes = facts.notes
     model.spark_model = _fit_spark(df, estimator, features, y)

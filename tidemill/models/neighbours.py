@@ -1,10 +1,14 @@
-"""Exact k nearest neighbours.
+"""k nearest neighbours, exact or by hashing.
 
 Below a measured size the training rows are sent to every task once and each batch of
 query rows is compared with them by numpy. Above it, both tables are cut into blocks of
 bounded size by a hash of the row, every pair of blocks meets in one task, and only the
 k best of a block leave it; a grouped merge keeps the k best of all. No pair of rows is
-ever written out, and no block grows with the data.
+ever written out, and no block grows with the data. Blocks of both sides have the same size,
+so that both sides are copied equally often.
+
+``approx=True`` compares a row only with the training rows that share a bucket with it in one
+of several tables of random projections. Rows that find fewer than k there are searched exactly.
 """
 
 from __future__ import annotations
@@ -21,12 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions.columns import col, is_number, type_of
-from tidemill.session import spread_small
+from tidemill.session import spread_small, written
 
 BROADCAST_VALUES = 20_000_000
-QUERY_BLOCK = 20_000
-TRAIN_BLOCK = 50_000
+QUERY_BLOCK = 32_768
+TRAIN_BLOCK = 32_768
 CHUNK = 512
+TABLES = 8
+PROJECTIONS = 3  # of a table
+PROBES = 64  # rows that are searched exactly to set the width of buckets
+WIDTH = 4.0  # of a bucket, in distances to the k-th neighbour
 
 
 def feature_array(df: DataFrame, features: Sequence[str]):
@@ -101,14 +109,20 @@ def nearest(
     k: int,
     p: int = 2,
     broadcast_values: int = BROADCAST_VALUES,
+    *,
+    approx: bool = False,
 ) -> DataFrame:
-    """``df`` with ``_near``: its k nearest training rows as (distance, id, label)."""
+    """``df`` with ``_near``: its k nearest training rows as (distance, id, label).
+
+    With ``approx``, a row may miss neighbours that no table puts into its buckets."""
     size = train.agg(F.count("*").alias("n"), F.max(F.size("_tx")).alias("d")).first()
     if size["n"] == 0:
         raise ValueError("the training table is empty")
     if size["n"] < k:
         raise ValueError(f"n_neighbors={k} is more than the {size['n']} training rows")
     queries = spread_small(df.withColumn("_q", feature_array(df, features)))
+    if approx:
+        return _with_hashes(queries, train, k, p, size["n"], size["d"], broadcast_values)
     if size["n"] * size["d"] <= broadcast_values:
         return _with_broadcast(queries, train, k, p)
     return _with_blocks(queries, train, k, p, size["n"])
@@ -137,35 +151,107 @@ def _with_broadcast(queries: DataFrame, train: DataFrame, k: int, p: int) -> Dat
 
 
 def _with_blocks(queries: DataFrame, train: DataFrame, k: int, p: int, train_rows: int) -> DataFrame:
-    query_rows = queries.count()
-    qs = max(math.ceil(query_rows / QUERY_BLOCK), 1)
-    ts = max(math.ceil(train_rows / TRAIN_BLOCK), 1)
-    # equal query points share one search, however often they occur
-    points = queries.select("_q").distinct().withColumn("_qb", F.pmod(F.xxhash64("_q"), F.lit(qs)))
-    salted = train.withColumn("_tb", F.pmod(F.xxhash64("_tid", "_tx", F.lit(7)), F.lit(ts)))
-    left = points.withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(ts - 1)).cast("array<bigint>")))
-    right = salted.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qs - 1)).cast("array<bigint>")))
+    points = queries.select("_q").distinct()  # equal query points share one search
+    return queries.join(_search_blocks(points, train, k, p, queries.count(), train_rows), "_q").drop("_q")
+
+
+def _search_blocks(points: DataFrame, train: DataFrame, k: int, p: int, rows: int, train_rows: int) -> DataFrame:
+    """``_q, _near`` of different points, every block of them against every block of ``train``."""
+    qs, ts = max(math.ceil(rows / QUERY_BLOCK), 1), max(math.ceil(train_rows / TRAIN_BLOCK), 1)
+    left = points.withColumn("_qb", F.pmod(F.xxhash64("_q"), F.lit(qs)))
+    right = train.withColumn("_tb", F.pmod(F.xxhash64("_tid", "_tx", F.lit(7)), F.lit(ts)))
+    left = left.withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(ts - 1)).cast("array<bigint>")))
+    right = right.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qs - 1)).cast("array<bigint>")))
+    zero = F.lit(0).cast("bigint").alias("_b")
+    return _merged(_meet(left.select("*", zero), right.select("*", zero), ["_qb", "_tb"], k, p), k)
+
+
+def _meet(left: DataFrame, right: DataFrame, key: list[str], k: int, p: int) -> DataFrame:
+    """The k nearest of each ``_q`` among the ``_tx`` with the same key and bucket ``_b``."""
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"_q": [], "_near": []})
-        t, q = np.stack(b["_tx"].to_numpy()), np.stack(a["_q"].to_numpy())
-        found = _best(q, t, b["_ty"].to_numpy(), b["_tid"].to_numpy(), k, p)
-        near = [[{"d": d, "id": i, "y": v} for d, i, v in row] for row in found]
-        return pd.DataFrame({"_q": a["_q"], "_near": near})
+        out_q, out = [], []
+        if len(a) and len(b):
+            theirs = {bucket: part for bucket, part in b.groupby("_b", sort=False)}
+            for bucket, mine in a.groupby("_b", sort=False):
+                some = theirs.get(bucket)
+                if some is None:
+                    continue
+                t, q = np.stack(some["_tx"].to_numpy()), np.stack(mine["_q"].to_numpy())
+                found = _best(q, t, some["_ty"].to_numpy(), some["_tid"].to_numpy(), k, p)
+                out += [[{"d": d, "id": i, "y": v} for d, i, v in row] for row in found]
+                out_q += list(mine["_q"])
+        return pd.DataFrame({"_q": pd.Series(out_q, dtype=object), "_near": pd.Series(out, dtype=object)})
 
     schema = T.StructType(
         [T.StructField("_q", T.ArrayType(T.DoubleType())), T.StructField("_near", _BEST)]
     )
-    parts = (
-        left.groupBy("_qb", "_tb").cogroup(right.groupBy("_qb", "_tb")).applyInPandas(meet, schema)
-    )
-    # the k best per block are cut to k again before and after the shuffle
-    entries = parts.select("_q", F.explode("_near").alias("e"))
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, schema)
+
+
+def _merged(parts: DataFrame, k: int) -> DataFrame:
+    """The k best of all parts; they are cut to k before and after the shuffle."""
+    entries = parts.select("_q", F.explode("_near").alias("e")).distinct()
     order = W.partitionBy("_q").orderBy("e.d", "e.id")
     kept = entries.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
-    merged = kept.groupBy("_q").agg(F.array_sort(F.collect_list("e")).alias("_near"))
-    return queries.join(merged, "_q").drop("_q")
+    return kept.groupBy("_q").agg(F.array_sort(F.collect_list("e")).alias("_near"))
+
+
+def _with_hashes(
+    queries: DataFrame, train: DataFrame, k: int, p: int, train_rows: int, size: int, broadcast_values: int
+) -> DataFrame:
+    points = written(queries.select("_q").distinct(), "points")
+    n = points.count()
+    probes = points.orderBy(F.xxhash64("_q", F.lit(3))).limit(PROBES)
+    if train_rows * size <= broadcast_values:
+        probed = _with_broadcast(probes.withColumn("_k", F.col("_q")), train, k, p)
+    else:
+        probed = _search_blocks(probes, train, k, p, PROBES, train_rows)
+    far = probed.select(F.element_at("_near", -1)["d"].alias("d")).agg(F.percentile("d", 0.9).alias("d")).first()["d"]
+    width = WIDTH * far if far else 1.0
+    rng = np.random.default_rng(11)
+    axes = rng.standard_cauchy((TABLES * PROJECTIONS, size)) if p == 1 else rng.normal(size=(TABLES * PROJECTIONS, size))
+    shifts = rng.uniform(0, 1, TABLES * PROJECTIONS)
+
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            x = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, size))
+            cells = np.floor(x @ axes.T / width + shifts).astype(np.int64).reshape(len(x), TABLES, PROJECTIONS)
+            with np.errstate(over="ignore"):
+                mixed = np.broadcast_to(np.arange(TABLES, dtype=np.int64), (len(x), TABLES)) + 1
+                for j in range(PROJECTIONS):
+                    mixed = (mixed ^ cells[:, :, j]) * np.int64(0x5851F42D4C957F2D) + np.int64(0x14057B7EF767814F)
+                    mixed = mixed ^ (mixed >> 31)
+            yield pd.Series(list(mixed), dtype=object)
+
+    hashed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    bucket = F.pandas_udf(hashed, T.ArrayType(T.LongType()))
+    left = written(points.withColumn("_b", F.explode(bucket("_q"))), "hashed")
+    right = written(train.withColumn("_b", F.explode(bucket("_tx"))), "hashed")
+    # a bucket with many rows on either side is a grid of its own
+    bins = max(math.ceil(TABLES * max(n / QUERY_BLOCK, train_rows / TRAIN_BLOCK)), 1)
+    sizes = left.groupBy("_b").agg(F.count("*").alias("_n")).join(
+        right.groupBy("_b").agg(F.count("*").alias("_m")), "_b"
+    )
+    hot = written(sizes.where(f"_n > {QUERY_BLOCK} OR _m > {TRAIN_BLOCK}"), "hot").select(
+        "_b", F.ceil(F.col("_n") / QUERY_BLOCK).alias("_qs"), F.ceil(F.col("_m") / TRAIN_BLOCK).alias("_ts")
+    )
+    one = F.lit(1).cast("bigint")
+
+    def dealt(side: DataFrame, mine: str, other: str, part: str, across: str, row: list[str]) -> DataFrame:
+        known = side.join(hot, "_b", "left").withColumn(part, F.pmod(F.xxhash64(*row), F.coalesce(mine, one)))
+        spread = known.withColumn(across, F.explode(F.sequence(one * 0, F.coalesce(other, one) - 1)))
+        return spread.withColumn("_bin", F.pmod(F.xxhash64("_b"), F.lit(bins))).drop("_qs", "_ts")
+
+    key = ["_bin", "_qb", "_tb"]
+    found = _merged(_meet(dealt(left, "_qs", "_ts", "_qb", "_tb", ["_q"]), dealt(right, "_ts", "_qs", "_tb", "_qb", ["_tid", "_tx"]), key, k, p), k)
+    found = written(found, "near")
+    rest = written(points.join(found.where(F.size("_near") >= k), "_q", "left_anti"), "rest")
+    missing = rest.count()
+    near = found.where(F.size("_near") >= k)
+    if missing:
+        near = near.unionByName(_search_blocks(rest, train, k, p, missing, train_rows))
+    return queries.join(near, "_q").drop("_q")
 
 
 def vote(near: str, classes: Sequence[Any], weights: str):

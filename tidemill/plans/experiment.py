@@ -18,7 +18,7 @@ from tidemill.models.tuning import SCORERS, grid_search
 from tidemill.operators.metrics import confusion, evaluate, roc_auc, roc_auc_weighted
 from tidemill.operators.rows import stride_sample
 from tidemill.operators.splits import split
-from tidemill.plans.chain import FittedChain, audit_tables, check_operations, fit_chain
+from tidemill.plans.chain import FittedChain, audit_once, check_operations, fit_chain
 from tidemill.plans.prepare import PreparePlan, fit_prepare
 from tidemill.session import spread_small
 
@@ -128,7 +128,7 @@ class Experiment:
     best_params: dict[str, Any] | None
     cv_summary: dict[str, Any] | None
     train_time: float
-    audit: DataFrame
+    source: DataFrame
     rows: dict[str, int] = field(default_factory=dict)
     prepared: DataFrame | None = None  # cached; everything above reads it
 
@@ -137,6 +137,11 @@ class Experiment:
         if self.prepared is not None:
             self.prepared.unpersist()
 
+    @property
+    def audit(self) -> DataFrame:
+        """Rows and columns after every operation; one pass over the table, when asked for."""
+        return audit_once(self.source, self.scorer.chain)
+
     def confusion(self, part: str = "test") -> DataFrame:
         return confusion(self.scored.where(F.col("split") == part), "label", "prediction")
 
@@ -180,7 +185,7 @@ def run_experiment(df: DataFrame, spec: Mapping[str, Any]) -> Experiment:
                 full["params"],
                 config["cv"],
                 config["scoring"],
-                True,
+                config["refit"],
                 config["n_jobs"],
                 full["random_state"],
                 key,
@@ -208,7 +213,7 @@ def run_experiment(df: DataFrame, spec: Mapping[str, Any]) -> Experiment:
         best,
         summary,
         spent,
-        audit_tables(tables, full["operations"]),
+        df,
         counts,
         ready,
     )
