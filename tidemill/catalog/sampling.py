@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.catalog.base import LINEITEM_KEY, query, table
 from tidemill.functions.ranking import row_hash
-from tidemill.operators import rows, splits
+from tidemill.operators import rows, splits, strata
 
 _H = "md5(concat_ws('|', '42', event_id))"
 _EVENTS = f"SELECT *, row_number() OVER (ORDER BY {_H}) AS rk, count(*) OVER () AS n FROM events"
@@ -143,6 +143,55 @@ def split_stratified(spark, sf):
     return parted.select("o_orderkey", "o_orderpriority", "split")
 
 
+def _quotas_sql(source: str, group: str) -> str:
+    """Rows of each class in train and validation, by largest remainder."""
+    return f"""s AS (SELECT n, ceil(n * (0.1::DOUBLE + 0.2::DOUBLE)) AS held FROM (SELECT count(*) AS n FROM {source})),
+p AS (SELECT n, held, ceil(held * (0.2::DOUBLE / (0.1::DOUBLE + 0.2::DOUBLE))) AS test FROM s),
+z AS (SELECT CAST(n AS BIGINT) AS n, CAST(n - held AS BIGINT) AS train, CAST(held - test AS BIGINT) AS val, CAST(test AS BIGINT) AS test FROM p),
+c AS (SELECT {group} AS g, count(*) AS nc FROM {source} GROUP BY 1),
+q1 AS (SELECT g, nc, train * nc // n AS base, row_number() OVER (ORDER BY train * nc % n DESC, g) AS o,
+              train - sum(train * nc // n) OVER () AS rest FROM c, z),
+t AS (SELECT g, nc, base + CASE WHEN o <= rest THEN 1 ELSE 0 END AS tr FROM q1),
+h AS (SELECT g, tr, nc - tr AS hc, (SELECT val FROM z) AS val, (SELECT val + test FROM z) AS ht FROM t),
+q2 AS (SELECT g, tr, val * hc // ht AS base, row_number() OVER (ORDER BY val * hc % ht DESC, g) AS o,
+              val - sum(val * hc // ht) OVER () AS rest FROM h),
+v AS (SELECT g, tr, base + CASE WHEN o <= rest THEN 1 ELSE 0 END AS va FROM q2)"""
+
+
+@query(
+    "split_many_strata",
+    f"""WITH big AS (SELECT *, CAST(o_custkey AS VARCHAR) AS g0 FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) >= 2),
+{_quotas_sql("big", "g0")}
+SELECT o_orderkey, o_custkey, CASE WHEN rk <= tr THEN 'train' WHEN rk <= tr + va THEN 'validation' ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER (PARTITION BY g0 ORDER BY {_OH}) AS rk FROM big) x JOIN v ON v.g = x.g0""",
+)
+def split_many_strata(spark, sf):
+    """A stratum per customer (of two orders or more), with the quotas in a table."""
+    o = table(spark, sf, "orders")
+    often = o.groupBy("o_custkey").agg(F.count("*").alias("n")).where("n >= 2").select("o_custkey")
+    rows = o.join(often, "o_custkey")
+    counts = strata.count_strata(rows, "o_custkey")
+    sizes = splits.split_sizes(rows.count(), 0.2, 0.1)
+    dealt = strata.deal(rows, "o_custkey", strata.split_quotas(counts, sizes), ["o_orderkey"], 42, "part")
+    names = F.array(*map(F.lit, splits.PARTS))
+    return dealt.select("o_orderkey", "o_custkey", F.element_at(names, F.col("part") + 1).alias("split"))
+
+
+@query(
+    "cv_folds_many_strata",
+    """WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS g, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT unnest(range(4)) AS fold),
+ s AS (SELECT g, n, coalesce(sum(n % 4) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 4 AS start FROM c),
+ e AS (SELECT g, fold, CAST(n // 4 + CASE WHEN (fold - start + 4) % 4 < n % 4 THEN 1 ELSE 0 END AS BIGINT) AS rows FROM s, f)
+SELECT CAST(g AS BIGINT) AS o_custkey, CAST(fold AS BIGINT) AS fold, rows FROM e WHERE rows > 0""",
+)
+def cv_folds_many_strata(spark, sf):
+    o = table(spark, sf, "orders")
+    ends = strata.fold_ends(strata.count_strata(o, "o_custkey"), 4)
+    folded = strata.deal(o, "o_custkey", ends, ["o_orderkey"], 42, "fold")
+    counts = folded.groupBy(F.col("o_custkey").cast("bigint").alias("o_custkey"), F.col("fold").cast("bigint").alias("fold"))
+    return counts.agg(F.count("*").alias("rows"))
+
+
 @query(
     "cv_folds",
     f"""SELECT o_orderkey, CASE WHEN rk <= (n % 4) * (n // 4 + 1) THEN (rk - 1) // (n // 4 + 1)

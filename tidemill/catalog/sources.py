@@ -42,18 +42,46 @@ def read_csv(spark, sf):
     return load(spark, DatasetRef(path, "csv"))
 
 
-@query("read_json", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+@query("read_json", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def read_json(spark, sf):
+    """A record per line: found out from the head of a file, which is then split."""
     path = _fresh(spark, "json")
     table(spark, sf, "customer").write.json(path)
-    return load(spark, DatasetRef(path, "json", options={"multiLine": False})).drop("c_nationkey")
+    return load(spark, DatasetRef(path, "json"))
 
 
-@query("read_xml", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+@query("read_json_array", "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier")
+def read_json_array(spark, sf):
+    """All records in one array over several lines."""
+    path = _fresh(spark, "json")
+    rows = table(spark, sf, "supplier")
+    records = rows.select(F.to_json(F.struct(*rows.columns)).alias("r")).agg(F.collect_list("r").alias("all"))
+    records.select(F.concat(F.lit("[\n"), F.concat_ws(",\n", "all"), F.lit("\n]")).alias("value")).write.text(path)
+    return load(spark, DatasetRef(path, "json"))
+
+
+@query("read_csv_lines", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
+def read_csv_lines(spark, sf):
+    """No field has a line break, so the file is split at line ends."""
+    path = _fresh(spark, "csv")
+    write_table(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), path, "csv")
+    return load(spark, DatasetRef(path, "csv"))
+
+
+@query("read_xml", "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier")
 def read_xml(spark, sf):
     path = _fresh(spark, "xml")
     table(spark, sf, "supplier").write.format("xml").option("rowTag", "row").save(path)
-    return load(spark, DatasetRef(path, "xml")).drop("s_nationkey")
+    return load(spark, DatasetRef(path, "xml"))
+
+
+@query("read_default_split", "SELECT * FROM orders WHERE o_orderstatus = 'F'")
+def read_default_split(spark, sf):
+    """Without a name: ``train``, else the first one by name."""
+    path = _fresh(spark, "split")
+    o = table(spark, sf, "orders")
+    o.withColumn("split", F.col("o_orderstatus")).write.partitionBy("split").parquet(path)
+    return load(spark, DatasetRef(path, "parquet"))
 
 
 @query("read_split", "SELECT * FROM orders WHERE o_orderstatus = 'F'")

@@ -48,6 +48,10 @@ class Mark:
     copies: int
 
 
+class TooManyGroups(ValueError):
+    """More groups than the driver should hold."""
+
+
 class HashOrder:
     """A table with a hash column, ready to be cut at exact places."""
 
@@ -93,7 +97,7 @@ class HashOrder:
             digits = 0
             rows = self._prefix_counts(self._slim(group), 0).limit(GROUPS + 1).collect()
             if len(rows) > GROUPS:
-                raise ValueError(f"more than {GROUPS} different values in {group!r}")
+                raise TooManyGroups(f"more than {GROUPS} different values in {group!r}")
         self.first[group] = (digits, rows)
         totals: dict[str | None, int] = {} if group else {"": 0}
         for r in rows:

@@ -90,7 +90,10 @@ def grid_search(
 
     jobs = [(place, fold) for place in range(len(combinations)) for fold in range(cv)]
     try:
-        with ThreadPoolExecutor(max_workers=max(n_jobs or 1, 1)) as pool:
+        # -1: as many fits at a time as there are cores, -2: one fewer, and so on
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        wide = n_jobs if (n_jobs or 1) > 0 else cores + 1 + n_jobs
+        with ThreadPoolExecutor(max_workers=max(wide or 1, 1)) as pool:
             results = list(pool.map(one, jobs))
     finally:
         rows.unpersist()

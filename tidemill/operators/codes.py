@@ -19,22 +19,25 @@ from tidemill.session import shared_path, written
 BROADCAST_ROWS = 200_000
 
 
-def number_in_order(df: DataFrame, order: Sequence[str], name: str = "code") -> DataFrame:
-    """``df`` with 0, 1, 2 ... in ascending order of columns that tell its rows apart.
+def number_in_order(df: DataFrame, order: Sequence[str], name: str = "code", step: Column | None = None) -> DataFrame:
+    """``df`` with 0, 1, 2 ... in ascending order of columns that tell its rows apart; with
+    ``step`` (a whole number per row) the sum of the steps of the rows before.
 
-    Rows are dealt into ranges and numbered inside them; the ranges' sizes, one number each,
+    Rows are dealt into ranges and numbered inside them; the ranges' sums, one number each,
     say where a range starts. So no task sees more than a range.
     """
+    step = F.lit(1) if step is None else step
     part, start = free_name(df, "_part"), free_name(df, "_start")
     keys = [col(c) for c in order]
     ranged = written(df.repartitionByRange(*keys).withColumn(part, F.spark_partition_id()), "ranges")
-    sizes = ranged.groupBy(part).agg(F.count("*").alias(start)).orderBy(part).collect()
+    sizes = ranged.groupBy(part).agg(F.sum(step).alias(start)).orderBy(part).collect()
     starts, upto = [], 0
     for r in sizes:  # one per partition
         starts.append((r[part], upto))
         upto += r[start]
     known = df.sparkSession.createDataFrame(starts, f"`{part}` int, `{start}` bigint")
-    place = F.row_number().over(Window.partitionBy(part).orderBy(*keys)) - 1
+    before = Window.partitionBy(part).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.coalesce(F.sum(step).over(before), F.lit(0))
     numbered = ranged.join(F.broadcast(known), part).withColumn(name, F.col(start) + place)
     return numbered.select(*[col(c) for c in df.columns], F.col(name).cast("bigint").alias(name))
 

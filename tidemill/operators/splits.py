@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import col, free_name, require_columns
-from tidemill.functions.ranking import HashOrder
+from tidemill.functions.ranking import HashOrder, TooManyGroups
+from tidemill.operators import strata
 
 PARTS = ("train", "validation", "test")
 
@@ -63,15 +64,30 @@ def split(
     order = HashOrder(df, key, random_state)
     part = free_name(df, "_part")
     if stratify:
-        counts = order.totals(target)
-        sizes = _class_sizes(counts, test_size, validation_size)
-        dealt = order.deal(sizes, part, target)
+        try:
+            sizes = _class_sizes(order.totals(target), test_size, validation_size)
+            dealt = order.deal(sizes, part, target)
+        except TooManyGroups:
+            dealt = _deal_strata(df, target, test_size, validation_size, random_state, key, part)
     else:
         dealt = order.deal({"": split_sizes(order.totals()[""], test_size, validation_size)}, part)
     label = F.element_at(F.array(*map(F.lit, PARTS)), F.col(part) + 1)
     return dealt.select(*[col(c) for c in df.columns], label.alias(name))
 
 
+def _deal_strata(df, target, test_size, validation_size, random_state, key, part) -> DataFrame:
+    """The same rules with the classes in a table."""
+    counts = strata.count_strata(df, target)
+    told = counts.agg(F.sum("n").alias("rows"), F.count("*").alias("classes"), F.min("n").alias("least")).first()
+    if told["least"] < 2:
+        rare = [r["g"] for r in counts.where("n < 2").limit(10).collect()]
+        raise ValueError(f"stratify needs at least 2 rows of every class, too few of: {rare}")
+    sizes = split_sizes(told["rows"], test_size, validation_size)
+    if min(sizes[0], sizes[1] + sizes[2]) < told["classes"]:
+        raise ValueError("every part needs at least one row per class.")
+    return strata.deal(df, target, strata.split_quotas(counts, sizes), key, random_state, part)
+
+
 def _class_sizes(counts: dict, test_size: float, validation_size: float | None) -> dict:
     rare = [g for g, n in counts.items() if n < 2]
     if rare:
@@ -106,7 +122,13 @@ def assign_folds(
     order = HashOrder(df, key, random_state)
     if not stratify:
         return order.deal({"": fold_sizes(order.totals()[""], folds)}, name)
-    counts = order.totals(target)
+    try:
+        counts = order.totals(target)
+    except TooManyGroups:
+        table = strata.count_strata(df, target)
+        if table.agg(F.max("n")).first()[0] < folds:
+            raise ValueError(f"cv={folds} is more than the rows of any class.") from None
+        return strata.deal(df, target, strata.fold_ends(table, folds), key, random_state, name)
     if max(counts.values()) < folds:
         raise ValueError(f"cv={folds} is more than the rows of any class.")
     sizes, start = {}, 0

@@ -80,6 +80,8 @@ def check_spec(spec: Mapping[str, Any]) -> dict[str, Any]:
             raise ValueError("cv must be >= 2.")
         if config["scoring"] is not None and SCORERS.get(config["scoring"], ("",))[0] != full["task"]:
             raise ValueError(f"Unknown scoring {config['scoring']!r}.")
+        if not config["refit"]:
+            raise ValueError("refit=False leaves no model to evaluate; grid_search takes it")
         full["param_config"] = config
     return full
 
@@ -185,7 +187,7 @@ def run_experiment(df: DataFrame, spec: Mapping[str, Any]) -> Experiment:
                 full["params"],
                 config["cv"],
                 config["scoring"],
-                config["refit"],
+                True,
                 config["n_jobs"],
                 full["random_state"],
                 key,

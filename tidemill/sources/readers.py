@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,13 +67,17 @@ def load(spark: SparkSession, ref: DatasetRef | str) -> DataFrame:
         elif kind == "csv":
             return _read_csv(spark, ref)
         elif kind == "json":
-            options = {"multiLine": True, **ref.options}
+            options = dict(ref.options)
+            if "multiLine" not in options:
+                options["multiLine"] = not json_lines(spark, ref.path)
             df = spark.read.options(**options).json(ref.path)
         elif kind == "xml":
             options = {"rowTag": "row", **ref.options}
             df = spark.read.options(**options).format("xml").load(ref.path)
         else:
             df = spark.read.options(**ref.options).parquet(ref.path)
+            if _split_names(df):
+                df = load_split(spark, ref.path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"Dataset not found: {ref.path}") from error
@@ -86,7 +92,7 @@ def _format_of(ref: DatasetRef) -> str:
         name = re.split(r"[\\/]", ref.path.rstrip("/"))[-1]
         kind = name.rsplit(".", 1)[1].lower() if "." in name else "parquet"
     if kind not in FORMATS:
-        raise ValueError(f"Unsupported dataset format: {kind!r}. Supported formats: {', '.join(FORMATS)}")
+        raise ValueError(f"Unsupported format {kind!r} of {ref.path!r}. Supported formats: {', '.join(FORMATS)}")
     return kind
 
 
@@ -103,9 +109,10 @@ def load_split(spark: SparkSession, path: str, split: str | None = None) -> Data
         if split is None:
             return df
         raise ValueError(f"Split {split!r} not found. Available: none")
-    # a folder name is a value of the table: only distinct ones come to the driver
-    found = df.select(F.col("split").cast("string").alias("split")).where("split IS NOT NULL").distinct()
-    names = sorted(r["split"] for r in found.collect())
+    names = _split_names(df)
+    if not names:  # a column of the rows, not of the folders
+        found = df.select(F.col("split").cast("string").alias("split")).where("split IS NOT NULL").distinct()
+        names = sorted(r["split"] for r in found.collect())
     if not names:
         raise ValueError("the table has no named split")
     chosen = split if split is not None else ("train" if "train" in names else names[0])
@@ -114,6 +121,33 @@ def load_split(spark: SparkSession, path: str, split: str | None = None) -> Data
     return df.where(F.col("split").cast("string") == chosen).drop("split")
 
 
+def _split_names(df: DataFrame) -> list[str]:
+    """Names of the ``split=<name>`` folders that a table lies in; no data is read."""
+    if "split" not in df.columns:
+        return []
+    found = {unquote(m.group(1)) for f in df.inputFiles() for m in [re.search(r"/split=([^/]+)/", f)] if m}
+    return sorted(found - {"__HIVE_DEFAULT_PARTITION__"})
+
+
+def json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that is not blank is a whole JSON object: then every line is one,
+    and files are split. An array, or an object over several lines, is read as a whole."""
+    head = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    if not head:
+        return True
+    try:
+        return isinstance(json.loads(head[0]["value"]), dict)
+    except ValueError:
+        return False
+
+
+def lines_are_rows(spark: SparkSession, path: str, quote: str = '"') -> bool:
+    """Whether every line of a delimited file has its quotes in pairs. Then no quoted field
+    goes on in the next line, so files may be split at line ends. Lines are looked at side by side."""
+    odd = F.pmod(F.regexp_count("value", F.lit(re.escape(quote))), F.lit(2)) == 1
+    return spark.read.text(path).where(odd).isEmpty()
+
+
 def without_nan(df: DataFrame) -> DataFrame:
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
     if not floats:
@@ -125,9 +159,18 @@ def without_nan(df: DataFrame) -> DataFrame:
 
 def _read_csv(spark: SparkSession, ref: DatasetRef) -> DataFrame:
     """Quoted fields may hold quotes and line breaks. Values are read as text, the
-    missing tokens become NULL, and only then each column's type is decided."""
-    options = {"header": True, "escape": '"', "multiLine": True, **ref.options}
+    missing tokens become NULL, and only then each column's type is decided. Unless told,
+    files are read as a whole only where a quoted field has a line break."""
+    options = {"header": True, "escape": '"', **ref.options}
     schema = options.pop("schema", None)
+    if "multiLine" not in options:
+        try:
+            plain = options["escape"] == '"' and "lineSep" not in options
+            options["multiLine"] = not (plain and lines_are_rows(spark, ref.path, options.get("quote", '"')))
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                raise FileNotFoundError(f"Dataset not found: {ref.path}") from error
+            raise
     reader = spark.read.options(**{**options, "inferSchema": False})
     try:
         raw = reader.csv(ref.path)
