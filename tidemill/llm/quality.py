@@ -3,12 +3,14 @@
 Every document has a vector of transformed statistics. Per language and source, the half of
 the documents that lie closest together (the share is a parameter) gives a mean and a
 covariance that outliers cannot pull, found by concentration steps: measure all distances,
-keep the closest share, estimate again. Documents far away by the robust Mahalanobis
-distance are rejected. All steps are aggregates over a narrow table of statistics.
+keep the closest share, estimate again. The steps begin from several starts, and the one
+with the smallest determinant goes on. Documents far away by the robust Mahalanobis distance are
+rejected. All steps are aggregates over a narrow table of statistics.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,26 +22,55 @@ from tidemill.llm.common import WORD, keep, let
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
 DIMENSIONS = len(FEATURES)
 BINS = 32  # per doubling of a distance
+STARTS = 3
+KEYS = ("level", "lang", "source", "start")
+
+
+def chi_square(x: float, degrees: int) -> float:
+    """Share of a chi-square distribution below ``x``."""
+    k = 2 - degrees % 2
+    share = math.erf(math.sqrt(x / 2)) if k == 1 else 1 - math.exp(-x / 2)
+    while k < degrees:
+        share -= (x / 2) ** (k / 2) * math.exp(-x / 2) / math.gamma(k / 2 + 1)
+        k += 2
+    return share
+
+
+def chi_square_quantile(share: float, degrees: int) -> float:
+    low, high = 0.0, 1e4
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, degrees) < share else (low, middle)
+    return low
 
 
 @dataclass(frozen=True)
 class McdPlan:
-    """``share`` of a group is the core; its covariance is multiplied by ``consistency`` to
-    fit all of a normal group (0.75 / P(chi2 with 7 degrees < 0.75 quantile with 5)).
-    Distances above ``cutoff`` are rejected. ``floor``: standard deviations that are added,
-    so that a statistic that hardly varies rejects nobody for a trifle. Floors and cutoff
-    are set so that labelled clean texts stay: junk lies beyond 35, clean text below 30. Groups of fewer
-    than ``min_group`` documents use their language's estimate, or that of all."""
-
-    share: float = 0.75
-    consistency: float = 1.41
-    cutoff: float = 33.0
+    """``share`` of a group is the core. Distances beyond those of all but ``tail`` of a normal
+    group are rejected. ``floor``: standard deviations that are added, so that a statistic that
+    hardly varies rejects nobody for a trifle; they are set so that labelled clean texts stay.
+    All ``STARTS`` make ``first_steps``, the best one ``steps`` more. Groups of fewer than
+    ``min_group`` documents use their language's estimate, or that of all."""
+
+    share: float = 0.55
+    tail: float = 1e-5
     floor: tuple[float, ...] = (0.5, 0.5, 0.1, 0.15, 0.15)
-    steps: int = 5
+    first_steps: int = 2
+    steps: int = 3
     min_group: int = 100
     min_words: int = 50
     max_repeat_percent: int = 50
 
+    @property
+    def consistency(self) -> float:
+        """By what the core's covariance falls short of that of its normal group."""
+        edge = chi_square_quantile(self.share, DIMENSIONS)
+        return self.share / chi_square(edge, DIMENSIONS + 2)
+
+    @property
+    def cutoff(self) -> float:
+        return chi_square_quantile(1 - self.tail, DIMENSIONS)
+
 
 def _repeated(words: Column) -> Column:
     """Words that lie in a three-word window found twice or more in the text.
@@ -138,6 +169,32 @@ def _inverse(flat: Column) -> Column:
     )
 
 
+def _determinant(flat: Column) -> Column:
+    """Determinant of a positive definite matrix: the product of its pivots."""
+    p = DIMENSIONS
+
+    def step(state: Column, k: Column) -> Column:
+        m = state["m"]
+        pivot = F.get(m, k * p + k)
+
+        def cell(value: Column, at: Column) -> Column:
+            i, j = F.floor(at / p).cast("int"), F.pmod(at, F.lit(p))
+            return F.when(i > k, value - F.get(m, i * p + k) * F.get(m, k * p + j) / pivot).otherwise(value)
+
+        return F.struct(F.transform(m, cell).alias("m"), (state["d"] * pivot).alias("d"))
+
+    start = F.struct(flat.alias("m"), F.lit(1.0).alias("d"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), start, step, lambda s: s["d"])
+
+
+def _first_distance() -> Column:
+    """Distances that the starts begin with, from values over their median deviation: the sum
+    of squares, the sum of absolute values, the largest one."""
+    z2 = [(F.col(x) - F.get("mean", F.lit(i))) ** 2 * F.get("inverse", F.lit(i * DIMENSIONS + i)) for i, x in enumerate(FEATURES)]
+    sums = [sum(z2, F.lit(0.0)), sum([F.sqrt(z) for z in z2], F.lit(0.0)), F.greatest(*z2)]
+    return F.when(F.col("start") == 0, sums[0]).when(F.col("start") == 1, sums[1]).otherwise(sums[2])
+
+
 def _distance() -> Column:
     """Squared Mahalanobis distance of the vector to ``mean`` by ``inverse``."""
     gap = [F.col(x) - F.get("mean", F.lit(i)) for i, x in enumerate(FEATURES)]
@@ -155,7 +212,7 @@ def _moments(rows: DataFrame, plan: McdPlan, factor: float) -> DataFrame:
     pairs = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
     # features are small numbers near their mean, so plain second moments are exact enough
     sums += [F.avg(xs[i] * xs[j]).alias(f"s{i}{j}") for i, j in pairs]
-    made = rows.groupBy("level", "lang", "source").agg(F.count("*").alias("n"), *sums)
+    made = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), *sums)
     cov = []
     for i in range(DIMENSIONS):
         for j in range(DIMENSIONS):
@@ -163,16 +220,16 @@ def _moments(rows: DataFrame, plan: McdPlan, factor: float) -> DataFrame:
             extra = plan.floor[i] ** 2 if i == j else 0.0
             cov.append(factor * (F.col(f"s{a}{b}") - F.col(f"m{a}") * F.col(f"m{b}")) + extra)
     made = made.select(
-        "level", "lang", "source", "n",
-        F.array(*[F.col(f"m{i}") for i in range(DIMENSIONS)]).alias("mean"), F.array(*cov).alias("cov"),
+        *KEYS, "n", F.array(*[F.col(f"m{i}") for i in range(DIMENSIONS)]).alias("mean"), F.array(*cov).alias("cov")
     )
-    return made.withColumn("inverse", _inverse(F.col("cov"))).drop("cov")
+    return made.withColumns({"inverse": _inverse(F.col("cov")), "determinant": _determinant(F.col("cov"))}).drop("cov")
 
 
 def _with(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows beside their group's estimate; Spark broadcasts the groups if they are few, and
     splits a hot group if they are not."""
-    g = groups.select(*[F.col(c).alias(f"_{c}") for c in ("level", "lang", "source")], "mean", "inverse")
+    rest = [c for c in ("start", "mean", "inverse") if c in groups.columns]
+    g = groups.select(*[F.col(c).alias(f"_{c}") for c in ("level", "lang", "source")], *rest)
     match = (F.col("level") == F.col("_level")) & F.col("lang").eqNullSafe(F.col("_lang"))
     match = match & F.col("source").eqNullSafe(F.col("_source"))
     return rows.join(g, match).drop("_level", "_lang", "_source")
@@ -204,31 +261,44 @@ def estimate(rows: DataFrame, plan: McdPlan) -> DataFrame:
         ],
     )
     scale = [1.0 / ((1.4826 * F.col(f"d{i}")) ** 2 + plan.floor[i] ** 2) for i in range(DIMENSIONS)]
+    starts = F.explode(F.array(*[F.lit(i) for i in range(STARTS)]))
     groups = keep(
         wide.select(
             *keys, "mean",
             F.array(*[scale[i] if i == j else F.lit(0.0) for i in range(DIMENSIONS) for j in range(DIMENSIONS)]).alias("inverse"),
+            starts.alias("start"),
         ),
         "groups",
     )
+    groups = _concentrate(each, groups, _first_distance(), plan)
+    for _ in range(plan.first_steps):
+        groups = _concentrate(each, groups, _distance(), plan)
+    best = F.min_by(F.struct("start", "mean", "inverse"), F.struct("determinant", "start"))
+    groups = groups.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*")
     for _ in range(plan.steps):
-        near = _with(each, groups).withColumn("_d", _distance())
-        # the distance below which a share of the group lies, on a fine scale: exact counts,
-        # so the same core under any partitioning
-        near = near.withColumn("_bin", F.ceil(F.log2(F.col("_d") + 2.0**-20) * BINS).cast("int"))
-        counts = near.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
-        upto = Window.partitionBy(*keys).orderBy("_bin")
-        whole = Window.partitionBy(*keys)
-        reached = counts.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(whole)})
-        cuts = reached.where(F.col("_upto") >= plan.share * F.col("_all")).groupBy(*keys).agg(F.min("_bin").alias("_cut"))
-        cuts = cuts.select(*[F.col(c).alias(f"_{c}") for c in keys], "_cut")
-        match = (F.col("level") == F.col("_level")) & F.col("lang").eqNullSafe(F.col("_lang"))
-        match = match & F.col("source").eqNullSafe(F.col("_source"))
-        core = near.join(cuts, match).where(F.col("_bin") <= F.col("_cut"))
-        groups = keep(_moments(core, plan, plan.consistency), "groups")
+        groups = _concentrate(each, groups, _distance(), plan)
     return groups
 
 
+def _concentrate(each: DataFrame, groups: DataFrame, distance: Column, plan: McdPlan) -> DataFrame:
+    """Estimates from the share of each group that lies closest by the estimate so far.
+
+    The distance below which a share of the group lies is found on a fine scale by exact
+    counts, so the core is the same under any partitioning.
+    """
+    near = _with(each, groups).withColumn("_d", distance)
+    near = near.withColumn("_bin", F.ceil(F.log2(F.col("_d") + 2.0**-20) * BINS).cast("int"))
+    counts = near.groupBy(*KEYS, "_bin").agg(F.count("*").alias("_n"))
+    upto, whole = Window.partitionBy(*KEYS).orderBy("_bin"), Window.partitionBy(*KEYS)
+    reached = counts.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(whole)})
+    cuts = reached.where(F.col("_upto") >= plan.share * F.col("_all")).groupBy(*KEYS).agg(F.min("_bin").alias("_cut"))
+    cuts = cuts.select(*[F.col(c).alias(f"_{c}") for c in KEYS], "_cut")
+    match = (F.col("level") == F.col("_level")) & (F.col("start") == F.col("_start"))
+    match = match & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
+    core = near.join(cuts, match).where(F.col("_bin") <= F.col("_cut"))
+    return keep(_moments(core, plan, plan.consistency), "groups")
+
+
 def judge(docs: DataFrame, plan: McdPlan = McdPlan()) -> DataFrame:
     """Per row: ``doc_id, lang, source``, the statistics, ``base_failed, distance, kept``.
 
