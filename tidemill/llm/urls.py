@@ -1,7 +1,9 @@
 """URL filters: host rules first, then boosted trees on lexical features.
 
 The rules decide some URLs, and those are the labelled ones: trees learn from them what
-blocked URLs look like, and judge the rest.
+blocked URLs look like, and judge the rest. Both verdicts weigh the same in the fit. The
+trees see how long a suffix is and whether it is rare, but not what the rules say of it: rules
+are mostly about suffixes, and the rest of a suffix would only inherit them.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from tidemill.llm.common import ascii_lower
 
 FEATURES = [
     "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "symbol_ratio", "entropy",
-    "parameters", "query_length", "fragment", "secure", "suffix_share", "suffix_blocked",
+    "parameters", "query_length", "fragment", "secure", "suffix_length", "suffix_rare",
 ]
 
 
@@ -45,12 +47,12 @@ RULES = (
 @dataclass(frozen=True)
 class FitPlan:
     """``max_rows``: labelled rows that the trees are fitted on, the ones with the smallest
-    hash of their URL. ``smooth``: rows of the overall rate added to each suffix's."""
+    hash of their URL. ``rare``: share of all pages below which a suffix is rare."""
 
     max_rows: int = 200_000
     trees: int = 20
     depth: int = 4
-    smooth: float = 20.0
+    rare: float = 0.01
     seed: int = 7
 
 
@@ -120,15 +122,7 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, plan: FitPlan =
     they label none, ``allow``. Repeated rows each get a row; no rows give none. Columns
     other than page_id and url are ignored.
     """
-    rows = lexical(pages)
-    name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": name, "_verdict": verdict})
-    blocked = F.when(F.col("_verdict") == "block", 1.0).when(F.col("_verdict") == "allow", 0.0)
-    rows = rows.withColumn("label", blocked)
-    # one row per suffix; sums are reduced before the shuffle
-    sums = rows.groupBy("suffix").agg(
-        F.count("*").alias("_n"), F.count("label").alias("_labelled"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("_bad")
-    )
+    rows, sums = _labelled(pages, rules)
     total = sums.agg(F.sum("_n").alias("n"), F.sum("_labelled").alias("l"), F.sum("_bad").alias("b")).first()
     labelled, bad = total["l"] or 0, total["b"] or 0.0
     if not labelled or bad in (0.0, float(labelled)):
@@ -137,23 +131,55 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, plan: FitPlan =
         return rows.select(
             "page_id", "url", "host", "path", "rule", F.coalesce("_verdict", F.lit(other)).alias("verdict"), score.alias("score")
         )
-    rate = bad / labelled
-    known = sums.select(
-        "suffix",
-        (F.col("_n") / total["n"]).alias("suffix_share"),
-        ((F.col("_bad") + plan.smooth * rate) / (F.col("_labelled") + plan.smooth)).alias("suffix_blocked"),
-    )
-    rows = rows.join(known, "suffix")
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(plan.seed), "url"), 11).cast("double") / float(1 << 53)
-    sample = rows.where(F.col("label").isNotNull() & (unit < min(1.0, plan.max_rows / labelled)))
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    trees = GBTClassifier(maxIter=plan.trees, maxDepth=plan.depth, seed=plan.seed, maxBins=64)
-    model = trees.fit(assembler.transform(sample).select("label", "features"))
-    scored = model.transform(assembler.transform(rows)).withColumn("score", vector_to_array("probability")[1])
+    ready = _features(rows, sums, total["n"], plan)
+    model = _fit(ready.where(F.col("label").isNotNull()), labelled, bad, plan)
+    scored = model.transform(ready).withColumn("score", vector_to_array("probability")[1])
     told = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     return scored.select("page_id", "url", "host", "path", "rule", F.coalesce("_verdict", told).alias("verdict"), "score")
 
 
+def _labelled(pages: DataFrame, rules: tuple[UrlRule, ...]) -> tuple[DataFrame, DataFrame]:
+    """Pages with the rules' labels, and one row per suffix with its counts."""
+    rows = lexical(pages)
+    name, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    rows = rows.withColumns({"rule": name, "_verdict": verdict})
+    blocked = F.when(F.col("_verdict") == "block", 1.0).when(F.col("_verdict") == "allow", 0.0)
+    rows = rows.withColumn("label", blocked)
+    sums = rows.groupBy("suffix").agg(
+        F.count("*").alias("_n"), F.count("label").alias("_labelled"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("_bad")
+    )
+    return rows, sums
+
+
+def _features(rows: DataFrame, sums: DataFrame, pages: int, plan: FitPlan) -> DataFrame:
+    # suffixes that are not rare are few: at most one in ``rare``
+    common = sums.where(F.col("_n") >= plan.rare * pages).select(F.col("suffix").alias("_common"))
+    known = rows.join(F.broadcast(common), F.col("suffix") == F.col("_common"), "left")
+    made = {"suffix_length": F.char_length("suffix").cast("double"), "suffix_rare": F.col("_common").isNull().cast("double")}
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(known.withColumns(made))
+
+
+def _fit(rows: DataFrame, labelled: int, bad: float, plan: FitPlan):
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(plan.seed), "url"), 11).cast("double") / float(1 << 53)
+    sample = rows.where(unit < min(1.0, plan.max_rows / labelled))
+    weight = F.when(F.col("label") == 1, labelled / (2 * bad)).otherwise(labelled / (2 * (labelled - bad)))
+    trees = GBTClassifier(maxIter=plan.trees, maxDepth=plan.depth, seed=plan.seed, maxBins=64, weightCol="weight")
+    return trees.fit(sample.select("label", "features", weight.alias("weight")))
+
+
+def held_out_accuracy(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, plan: FitPlan = FitPlan()) -> DataFrame:
+    """``label, n, right``: how the trees judge the labelled URLs of a fifth of the hosts (by a
+    hash of the host), when they learn from the others only."""
+    rows, sums = _labelled(pages, rules)
+    ready = _features(rows, sums, rows.count(), plan).where(F.col("label").isNotNull())
+    away = F.pmod(F.xxhash64("host", F.lit(plan.seed)), F.lit(5)) == 0
+    learned = ready.where(~away)
+    counts = learned.agg(F.count("*").alias("l"), F.sum("label").alias("b")).first()
+    scored = _fit(learned, counts["l"], counts["b"], plan).transform(ready.where(away))
+    right = (F.col("prediction") == F.col("label")).cast("long")
+    return scored.groupBy("label").agg(F.count("*").alias("n"), F.sum(right).alias("right"))
+
+
 def run(spark, sf: str) -> DataFrame:
     judged = judge(spark.read.parquet(f"{sf}/pages.parquet"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
