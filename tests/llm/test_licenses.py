@@ -98,3 +98,28 @@ def test_full_texts_as_files_and_inside_code(scanned):
 def test_header_file_speaks_for_its_directory_and_code_does_not(scanned):
     assert (scanned[5001]["license"], scanned[5001]["directory"]) == ("GPL-3.0", "gpl/header")
     assert scanned[5002]["license"] == "MPL-2.0" and scanned[5003]["license"] is None
+
+
+def test_a_notice_in_a_flat_directory_is_that_files_alone(spark):
+    """As in the test tables, where a directory is a source and a language: short documents with a
+    notice decide nothing for their neighbours; a full licence text or a licence file does."""
+    rows = [(i, f"src/en/{i}", PROSE) for i in range(40)] + [(50, "src/en/50", "Released under the MIT License."), (51, "src/en/51", MPL)]
+    rows += [(60, "src/de/60", GPL3 + "".join(t for n, t in FULL.items() if n == "GPL-3.0"))] + [(61, "src/de/61", PROSE)]
+    rows += [(70, "src/fr/license.md", "Released under the MIT License."), (71, "src/fr/71", PROSE)]
+    docs = spark.createDataFrame(rows, "doc_id long, place string, text string")
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan(docs, F.col("place")).collect()}
+    assert all(got[i] == (None, "none") for i in range(40))
+    assert got[50] == ("MIT", "own") and got[51] == ("MPL-2.0", "own")
+    assert got[71] == ("MIT", "inherited")
+
+
+def test_a_large_directory_is_not_one_task(spark):
+    """The table of directories is written before it is joined, so that Spark knows how small it is."""
+    docs = spark.range(2_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("one/"), "id").alias("place"),
+        F.when(F.col("id") == 7, FULL[sorted(FULL)[0]]).otherwise("plain words").alias("text"),
+    )
+    out = licenses.scan(docs, F.col("place"))
+    assert out.where("origin = 'inherited'").count() == 1_999
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [dir" in plan

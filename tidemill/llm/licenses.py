@@ -5,7 +5,7 @@ that speaks of a licence, three kinds of candidates are compared with them: sent
 lines that do so, sliding blocks of lines around those lines, and the whole text. All are
 vectors of words, weighted by how few of the templates have the word, so a verdict does not
 depend on the other documents. A document takes the licence of its best candidate. A
-document that is little else than notices, or near a full text, is a licence file and speaks
+full licence text, or a file named as a licence file that is little else than notices, speaks
 for its directory; documents without a licence of their own take that of the nearest
 directory above them that has one.
 """
@@ -125,6 +125,8 @@ NAME = r"(?:apache|bsd|cc0|mit|mpl|isc|l?gpl|agpl|gnu|mozilla|by|cc-by|attributi
 SENTENCE = r"(?<=[.;!?])[\x20\x09-\x0D]+"
 THRESHOLD = 0.6
 FILE_THRESHOLD = 0.8  # of a whole text to a full licence text, or of what makes up most of a text
+# Names of licence files, with or without an ending.
+FILE_NAME = r"(?i)^(licen[cs]es?|unlicen[cs]e|copying|copyright|notice)([.-].*)?$"
 FILE_SHARE = 50  # percent of a licence file's words that stand in lines about licences
 BLOCKS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)  # lines; a block slides by a quarter of them
 WHOLE, BLOCK, PIECE = 0, 1, 2
@@ -224,7 +226,9 @@ def scan(docs: DataFrame, path: Column, templates: list[Template] = TEMPLATES) -
     ``directory``, the one a licence is inherited from.
 
     ``path`` is a document's path, parts joined by ``/``. Whole texts are scanned; a NULL or
-    empty text has no licence of its own, a NULL path lies in the root directory. Two
+    empty text has no licence of its own, a NULL path lies in the root directory. A document
+    speaks for its directory if it is a full licence text, or if it is named as a licence file
+    (``FILE_NAME``) and is mostly notice; a notice in any other file is that file's alone. Two
     licence files of a directory: the better match, then the name, decides. Repeated rows
     each get a row, no rows give none. Columns other than doc_id and text are ignored.
     """
@@ -236,17 +240,18 @@ def scan(docs: DataFrame, path: Column, templates: list[Template] = TEMPLATES) -
     # rows with equal id, path and text share a key, and with it a licence
     key = F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.char_length("path"), "path", "_t"))
     rows = rows.select("doc_id", "path", told.alias("lines"), word_count(F.col("_t")).alias("n_words"), key.alias("key"))
-    rows = keep(rows.withColumn("dir", F.regexp_replace("path", r"(?s)/?[^/]*$", "")), "notices")
+    named = F.substring_index("path", "/", -1).rlike(FILE_NAME)
+    rows = keep(rows.withColumns({"dir": F.regexp_replace("path", r"(?s)/?[^/]*$", ""), "named": named}), "notices")
     vocabulary = spark.createDataFrame([([r[0] for r in index(templates).rows],)], "vocabulary array<string>")
     found = rows.where(F.size("lines") > 0).join(F.broadcast(vocabulary))  # one row
-    found = found.select("key", "dir", "n_words", "lines", F.inline(candidates(F.col("lines"), F.col("vocabulary"))))
+    found = found.select("key", "dir", "named", "n_words", "lines", F.inline(candidates(F.col("lines"), F.col("vocabulary"))))
     noted = F.aggregate(
         F.array_distinct(F.filter("lines", lambda line: line.rlike(CUE))), F.lit(0), lambda a, line: a + F.regexp_count(line, F.lit(WORD))
     )
     mostly = 100 * noted >= FILE_SHARE * F.col("n_words")
     most = 100 * F.size("tokens") >= FILE_SHARE * F.size(F.flatten(F.transform("lines", tokens)))
     found = found.where(F.size("tokens") > 0).select(
-        "key", "dir", "kind", F.md5(F.array_join("tokens", " ")).alias("id"), "tokens", mostly.alias("mostly"), most.alias("most")
+        "key", "dir", "named", "kind", F.md5(F.array_join("tokens", " ")).alias("id"), "tokens", mostly.alias("mostly"), most.alias("most")
     )
     found = keep(found, "candidates")
     matches = keep(match_tokens(found.select("id", "tokens").dropDuplicates(["id"]), templates), "matches")
@@ -254,7 +259,7 @@ def scan(docs: DataFrame, path: Column, templates: list[Template] = TEMPLATES) -
     near_full = (F.col("kind") == WHOLE) & (F.col("full") >= FILE_THRESHOLD)
     near_most = (F.col("kind") != WHOLE) & F.col("most") & (F.col("score") >= FILE_THRESHOLD)
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("license")))
-    speaks = F.max(F.col("mostly") | F.coalesce(near_full, F.lit(False)) | near_most)
+    speaks = F.max(F.coalesce(near_full, F.lit(False)) | (F.col("named") & (F.col("mostly") | near_most)))
     own = keep(hits.groupBy("key", "dir").agg(best.alias("b"), speaks.alias("speaks")), "own")
     declared = own.where("speaks").groupBy("dir").agg(F.min("b").alias("b"))
     # directories and those above them, down from each directory that has documents
@@ -268,7 +273,9 @@ def scan(docs: DataFrame, path: Column, templates: list[Template] = TEMPLATES) -
     near = ladder.join(declared.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(
         F.max_by(F.struct("up", "b"), "depth").alias("d")
     )
+    # written: Spark then knows its size, and can split a hot directory's side of the join
     near = near.select("dir", F.col("d.up").alias("directory"), F.col("d.b.license").alias("_theirs"), (-F.col("d.b.s")).alias("_score"))
+    near = keep(near, "near")
     mine = own.select("key", F.col("b.license").alias("_own"), (-F.col("b.s")).alias("_own_score"))
     out = rows.join(near, "dir", "left").join(mine, "key", "left")
     has = F.col("_own").isNotNull()
