@@ -1,8 +1,10 @@
 """The audit of a chain in one pass."""
 
+import pytest
 from conftest import values
 from pyspark.sql import DataFrameWriter
 
+from tidemill.models.fitting import fit_model
 from tidemill.plans import chain
 
 STEPS = [
@@ -32,3 +34,18 @@ def test_six_steps_are_counted_by_one_scan(spark, tmp_path, monkeypatch):
 
 def test_an_empty_chain(spark):
     assert chain.audit_once(spark.range(3), chain.FittedChain([])).count() == 0
+
+
+@pytest.mark.parametrize(
+    "name, params",
+    [
+        ("extra_trees_classifier", {"n_estimators": 2, "max_depth": 2}), ("random_forest_classifier", {"n_estimators": 2, "max_depth": 2}),
+        ("svm_classifier", {"max_iter": 5}), ("logistic_regression", {"max_iter": 5}), ("mlp_classifier", {"max_iter": 2}),
+    ],
+)
+def test_models_score_in_a_session_that_has_observed(spark, name, params):
+    chain.audit_once(spark.range(3), chain.FittedChain([]))
+    for classes in (2, 3):
+        df = spark.range(60).selectExpr("CAST(id % 7 AS DOUBLE) AS x", "CAST(id AS DOUBLE) AS z", f"id % {classes} AS y")
+        model = fit_model(df, name, "classification", ["x", "z"], "y", params)
+        assert model.transform(df).where("prediction IS NOT NULL").count() == 60

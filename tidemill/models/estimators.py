@@ -15,8 +15,10 @@ from typing import Any
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.base import Estimator
+from pyspark.sql import SparkSession
 
 from tidemill.models.registry import InvalidParameterError, hidden_layers
+from tidemill.session import shared_path
 
 DEEPEST = 30
 BINS = 64
@@ -45,6 +47,19 @@ def _many(estimator: Estimator, facts: Facts) -> Estimator:
     return C.OneVsRest(classifier=estimator) if facts.classes > 2 else estimator
 
 
+def alone(model, spark: SparkSession):
+    """The model without its training summary, which holds on to the training rows and to
+    the session, and cannot be sent to executors once the session observes metrics."""
+    if isinstance(model, C.OneVsRestModel):
+        model.models = [alone(part, spark) for part in model.models]
+        return model
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = shared_path(spark, "model")
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def _logistic(p, f: Facts):
     if p["penalty"] == "elasticnet":
         raise InvalidParameterError("penalty 'elasticnet' needs a mix that this model does not take")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import col
-from tidemill.models.estimators import Facts, extra_forest
+from tidemill.models.estimators import Facts, alone, extra_forest
 
 CUTS = 15
 DRAWS = 16
@@ -54,7 +54,7 @@ def fit_extra_trees(
         if facts.classes:
             told |= {"predictionCol": f"_c{d}", "probabilityCol": f"_p{d}", "rawPredictionCol": f"_r{d}"}
         model = forest.fit(assembler.transform(cutter.transform(rows)).select(f"_v{d}", "_y"), {forest.getParam(k): v for k, v in told.items()})
-        stages += [cutter, assembler, model]
+        stages += [cutter, assembler, alone(model, rows.sparkSession)]
     facts.notes[:] = list(dict.fromkeys(facts.notes))
     return PipelineModel(stages)
 

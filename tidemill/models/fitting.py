@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.columns import col, require_columns
 from tidemill.models import adaboost, bayes, extra_trees, neighbours
-from tidemill.models.estimators import ESTIMATORS, NEEDS_LABEL_STD, SEED, Facts
+from tidemill.models.estimators import ESTIMATORS, NEEDS_LABEL_STD, SEED, Facts, alone
 from tidemill.models.registry import check_params
-from tidemill.session import shared_path, spread_small, use_checkpoints
+from tidemill.session import spread_small, use_checkpoints
 
 MAX_CLASSES = 1_000
 
@@ -231,14 +231,4 @@ def _fit_spark(df: DataFrame, estimator, features: Sequence[str], y: Column) ->
     settings = {estimator.getParam(n): c for n, c in columns.items() if estimator.hasParam(n)}
     slim = spread_small(df.select(*[_feature(df, f) for f in features], y.alias("_y")))
     rows = assembler.transform(slim).select("_features", "_y")
-    return PipelineModel([assembler, _alone(estimator.fit(rows, settings), df.sparkSession)])
-
-
-def _alone(model, spark: SparkSession):
-    """The model without its training summary, which holds on to the training rows and to
-    the session, and cannot be sent to executors once the session observes metrics."""
-    if not getattr(model, "hasSummary", False):
-        return model
-    path = shared_path(spark, "model")
-    model.write().save(path)
-    return type(model).load(path)
+    return PipelineModel([assembler, alone(estimator.fit(rows, settings), df.sparkSession)])
