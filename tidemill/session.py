@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 
+_LOCAL: dict[str, str] = {}  # folders of local sessions that were given none
+
+
 def build_session(app: str = "tidemill", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
@@ -35,9 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="tidemill-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    # a setting of the core cannot be changed in a running session: the folder is remembered here
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="tidemill-")
+    return _LOCAL[application]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
