@@ -51,6 +51,31 @@ def test_both_sides_of_the_grid_are_copied_alike():
     assert neighbours.QUERY_BLOCK == neighbours.TRAIN_BLOCK
 
 
+@pytest.mark.parametrize("far", [0.0, 1e6])
+def test_few_exact_distances_are_taken(far):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6_000, 24)) + far
+    x[4_000:4_500] = x[:500]  # ties, told apart by id
+    tid, y = rng.permutation(len(x)), rng.normal(size=len(x))
+    near, taken = neighbours._near_squares(x[:200], x), []
+    for rows, d, places in near(0, 200, np.full(200, np.inf), 5):
+        assert np.array_equal(d, neighbours._distances(x[:200], x, 2)[rows, places])
+        taken.append(len(rows))
+    assert taken[0] < 200 * 60  # of 200 * 4 096
+    d = neighbours._distances(x[:200], x, 2)
+    best = [np.lexsort((tid, row))[:5] for row in d]
+    got = list(neighbours._best(x[:200], x, y, tid, 5, 2))
+    assert got == [[(d[i, j], tid[j], y[j]) for j in near] for i, near in enumerate(best)]
+
+
+def test_copies_of_a_point_share_a_search(cloud):
+    train = neighbours.train_table(cloud, X, "y", ["k"], 5)
+    assert train.count() == 3_000 and neighbours._few_copies(train, 5).count() == 2_005
+    seen = []
+    plain = neighbours._with_points(cloud.withColumn("_q", F.array(*X)), lambda p: seen.append(p) or p.withColumn("_near", F.lit(0)))
+    assert seen[0].count() == 2_001 and plain.count() == 3_000
+
+
 def test_approximate_classifier(cloud):
     model = fit_model(cloud, "knn_classifier", "classification", X, "y", {"approx": True, "n_neighbors": 3}, ["k"])
     assert model.transform(cloud).where("prediction = y").count() > 0.97 * 3_000

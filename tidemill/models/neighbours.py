@@ -4,7 +4,8 @@ Below a measured size the training rows are sent to every task once and each bat
 query rows is compared with them by numpy. Above it, both tables are cut into blocks of
 bounded size by a hash of the row, every pair of blocks meets in one task, and only the
 k best of a block leave it; a grouped merge keeps the k best of all. No pair of rows is
-ever written out, and no block grows with the data. Blocks of both sides have the same size,
+ever written out, and no block grows with the data. For Euclidean distances, a matrix product
+with a bound of its error leaves only pairs that may be near; copies of a point share a search. Blocks of both sides have the same size,
 so that both sides are copied equally often.
 
 ``approx=True`` compares a row only with the training rows that share a bucket with it in one
@@ -14,7 +15,7 @@ of several tables of random projections. Rows that find fewer than k there are s
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -31,6 +32,7 @@ BROADCAST_VALUES = 20_000_000
 QUERY_BLOCK = 32_768
 TRAIN_BLOCK = 32_768
 CHUNK = 512
+TILE = 4_096  # training rows that are compared at a time
 TABLES = 8
 PROJECTIONS = 3  # of a table
 PROBES = 64  # rows that are searched exactly to set the width of buckets
@@ -79,16 +81,81 @@ def _distances(q: np.ndarray, t: np.ndarray, p: int) -> np.ndarray:
 
 def _best(q: np.ndarray, t: np.ndarray, y: np.ndarray, tid: np.ndarray, k: int, p: int):
     """The k nearest rows of ``t`` for every row of ``q``, ties by row id."""
+    near = _near_squares(q, t) if p == 2 else _near_plain(q, t, p)
     for start in range(0, len(q), CHUNK):
-        d = _distances(q[start : start + CHUNK], t, p)
-        for row in d:
-            if len(row) > k:
-                edge = np.partition(row, k - 1)[k - 1]
-                near = np.flatnonzero(row <= edge)
-            else:
-                near = np.arange(len(row))
-            picked = near[np.lexsort((tid[near], row[near]))][:k]
-            yield [(float(row[i]), int(tid[i]), float(y[i])) for i in picked]
+        m = min(CHUNK, len(q) - start)
+        # the k best so far: row of the chunk, distance, row of t, in that order
+        row, far, place = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        worst = np.full(m, np.inf)
+        for rows, distances, places in near(start, m, worst, k):
+            if not len(rows):
+                continue
+            row, far, place = np.append(row, rows), np.append(far, distances), np.append(place, places)
+            order = np.lexsort((tid[place], far, row))
+            row, far, place = row[order], far[order], place[order]
+            first = np.searchsorted(row, np.arange(m))
+            kept = np.arange(len(row)) - first[row] < k
+            row, far, place = row[kept], far[kept], place[kept]
+            ends = np.searchsorted(row, np.arange(m), side="right")
+            full = ends - np.searchsorted(row, np.arange(m)) == k
+            worst[full] = far[ends[full] - 1]
+        ends = np.searchsorted(row, np.arange(m), side="right")
+        found = list(zip(far.tolist(), tid[place].tolist(), y[place].tolist()))
+        yield from (found[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends))
+
+
+def _near_plain(q: np.ndarray, t: np.ndarray, p: int):
+    """Tile by tile, the pairs that are no farther than ``worst``: row, distance, row of ``t``."""
+
+    def near(start: int, m: int, worst: np.ndarray, k: int):
+        for lo in range(0, len(t), TILE):
+            d = _distances(q[start : start + m], t[lo : lo + TILE], p)
+            edge = worst
+            if d.shape[1] > k:
+                edge = np.minimum(worst, np.partition(d, k - 1, axis=1)[:, k - 1]) if lo == 0 else worst
+            rows, columns = np.nonzero(~(d > edge[:, None]))
+            yield rows, d[rows, columns], columns + lo
+
+    return near
+
+
+def _near_squares(q: np.ndarray, t: np.ndarray):
+    """The same for Euclidean distances: one matrix product in single precision tells which pairs
+    may be near enough, with a bound of its error, and only their distances are taken exactly."""
+    middle = t.mean(axis=0)
+    scale = float(max((t.max(axis=0) - middle).max(), (middle - t.min(axis=0)).max())) or 1.0
+    a, b = ((q - middle) / scale).astype(np.float32), np.empty(t.shape, np.float32)
+    for lo in range(0, len(t), TILE):
+        b[lo : lo + TILE] = (t[lo : lo + TILE] - middle) / scale
+    aa, bb = np.einsum("ij,ij->i", a, a, dtype=np.float64), np.einsum("ij,ij->i", b, b, dtype=np.float64)
+    minus, bb32 = -2 * a, bb.astype(np.float32)
+    dims, most = t.shape[1], float(np.sqrt(bb.max()))
+    norm = np.sqrt(aa)
+    # rounding: of the products and sums, and of the numbers before they were centred
+    raw = max(float(max(t.max(), -t.min())), float(np.abs(q).max()) if len(q) else 0.0)
+    moved = 4 * np.finfo(np.float64).eps * raw / scale * np.sqrt(dims)
+    slack = 4 * (dims + 8) * np.finfo(np.float32).eps * (norm + most) ** 2 + 4 * moved * (norm + most) + moved**2
+
+    def near(start: int, m: int, worst: np.ndarray, k: int):
+        mine = slice(start, start + m)
+        for lo in range(0, len(t), TILE):
+            told = minus[mine] @ b[lo : lo + TILE].T
+            told += bb32[lo : lo + TILE]
+            edge = (worst / scale) ** 2 - aa[mine] + slack[mine]
+            if lo == 0 and told.shape[1] > k:
+                edge = np.partition(told, k - 1, axis=1)[:, k - 1] + 2 * slack[mine]
+            # rounded up; what is not a number stays in
+            with np.errstate(over="ignore"):
+                edge = np.nextafter(edge.astype(np.float32), np.float32(np.inf))
+            rows, columns = np.nonzero(~(told > edge[:, None]))
+            columns += lo
+            d = np.zeros(len(rows))
+            for j in range(dims):
+                one = q[rows + start, j] - t[columns, j]
+                d += one * one
+            yield rows, np.sqrt(d), columns
+
+    return near
 
 
 _BEST = T.ArrayType(
@@ -115,6 +182,7 @@ def nearest(
     """``df`` with ``_near``: its k nearest training rows as (distance, id, label).
 
     With ``approx``, a row may miss neighbours that no table puts into its buckets."""
+    train = _few_copies(train, k)
     size = train.agg(F.count("*").alias("n"), F.max(F.size("_tx")).alias("d")).first()
     if size["n"] == 0:
         raise ValueError("the training table is empty")
@@ -124,10 +192,22 @@ def nearest(
     if approx:
         return _with_hashes(queries, train, k, p, size["n"], size["d"], broadcast_values)
     if size["n"] * size["d"] <= broadcast_values:
-        return _with_broadcast(queries, train, k, p)
+        return _with_points(queries, lambda points: _with_broadcast(points, train, k, p))
     return _with_blocks(queries, train, k, p, size["n"])
 
 
+def _few_copies(train: DataFrame, k: int) -> DataFrame:
+    """At most ``k`` training rows of a point, the smallest ids: no other can be among the k nearest."""
+    order = W.partitionBy("_tx").orderBy("_tid")
+    return train.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+
+
+def _with_points(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Equal query points share one search."""
+    points = spread_small(queries.select("_q").distinct())
+    return queries.join(search(points.withColumn("_p", F.col("_q"))).select(F.col("_p").alias("_q"), "_near"), "_q").drop("_q")
+
+
 def _with_broadcast(queries: DataFrame, train: DataFrame, k: int, p: int) -> DataFrame:
     table = train.toArrow()  # bounded by the caller's check
     points = table.column("_tx").combine_chunks()
