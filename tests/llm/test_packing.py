@@ -91,6 +91,22 @@ def test_words_give_the_ids_of_the_whole_text(texts):
     assert list(ids) == [i for e in expected for i in e]
 
 
+def test_ids_are_put_in_place_in_little_memory():
+    import tracemalloc
+
+    coder = tokens.WordIds.of_worker(public_tokenizers.path("word_bpe_49k.json"))
+    texts = pa.array(["", "one two three " * 100, None, "four " * 70_000] + ["five six " * 200] * 700, pa.string())
+    tokens.text_ids(coder, texts.slice(0, 4).fill_null(""), 2)
+    tracemalloc.start()
+    ids, lengths = tokens.text_ids(coder, texts.fill_null(""), 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lengths[0] == lengths[2] == 1 and len(ids) == lengths.sum() and (ids[np.cumsum(lengths) - 1] == 2).all()
+    plain = [tokens.text_ids(coder, pa.array([t or ""]), 2)[0] for t in texts.slice(0, 5).to_pylist()]
+    assert list(ids[: sum(map(len, plain))]) == list(np.concatenate(plain))
+    assert most < 36 * len(ids)
+
+
 def test_files_hold_every_document_in_order(spark):
     from tokenizers import Tokenizer
 

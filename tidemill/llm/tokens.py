@@ -28,11 +28,12 @@ SHORT = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
 BLOCK = 256  # ids
 MAGIC = b"TMS8SEG1"
 HEADER = "<8sIQQQQQ"  # magic, task, ids before, documents, ids, blocks, words
-TEXT_BYTES = 1 << 22  # text that is tokenized at a time and makes a segment
+TEXT_BYTES = 1 << 21  # text that is tokenized at a time and makes a segment
 SEGMENTS_PER_FILE = 16
-CACHED_WORDS = 800_000  # about 25 MB
+CACHED_WORDS = 400_000  # about 15 MB, and twice that while words are looked up
 MARK = "\x01"  # between words that are coded together
 TOGETHER_WORDS = 4_096
+TOGETHER_IDS = 1 << 16  # words whose ids are put in place at a time
 TOGETHER = 512  # blocks that are packed or unpacked at a time: their arrays stay in the cache
 
 
@@ -237,12 +238,20 @@ def text_ids(coder: WordIds, texts: pa.Array, end_id: int) -> tuple[np.ndarray,
     coded = words.filter(full).dictionary_encode()
     flat, begin, place = coder.slots(coded.dictionary)
     slot = place[coded.indices.to_numpy(zero_copy_only=False)]
-    n = begin[slot + 1] - begin[slot]
-    done = np.cumsum(n)
-    gather = np.repeat(begin[slot] - (done - n), n) + np.arange(int(done[-1]) if len(done) else 0)
-    ids = flat[gather]
-    ends = np.concatenate([[0], done])[first]
-    return np.insert(ids, ends[1:], end_id), np.diff(ends) + 1
+    del split, words, full, upto, coded, place
+    done = np.concatenate([[0], np.cumsum(begin[slot + 1] - begin[slot])])
+    ends = done[first]
+    out = np.full(int(done[-1]) + len(texts), end_id, flat.dtype)
+    # documents in runs of some words: where ids come from takes eight times the ids' own memory
+    cuts = [0, *(np.flatnonzero(np.diff(first[1:] // TOGETHER_IDS)) + 1), len(texts)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        some = slot[first[lo] : first[hi]]
+        n = begin[some + 1] - begin[some]
+        gather = np.repeat(begin[some] - (done[first[lo] : first[hi]] - ends[lo]), n)
+        gather += np.arange(len(gather))
+        part = np.insert(flat[gather], ends[lo + 1 : hi + 1] - ends[lo], end_id)
+        out[ends[lo] + lo : ends[hi] + hi] = part
+    return out, np.diff(ends) + 1
 
 
 def segment(task: int, before: int, doc_ids: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> bytes:
