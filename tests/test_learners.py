@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.models import adaboost, extra_trees, neighbours
+from tidemill import session
+from tidemill.models import adaboost, extra_trees, fitting, neighbours
 from tidemill.models.fitting import FittedModel, fit_model
 
 X = [f"x{i}" for i in range(6)]
@@ -162,3 +163,44 @@ def test_stored_weights_are_the_closed_ones(cloud, monkeypatch):
     monkeypatch.setattr(adaboost, "KEPT_ROUNDS", 100)
     closed = adaboost.fit_adaboost_regressor(rows, X, 6, 1.0, 1)
     assert stored["weights"] == pytest.approx(closed["weights"]) and len(stored["trees"]) == len(closed["trees"])
+
+
+@pytest.mark.parametrize(
+    "name, params",
+    [
+        ("decision_tree_classifier", {"max_depth": 4, "min_samples_leaf": 300, "max_features": None}),
+        ("gradient_boosting_classifier", {"n_estimators": 2, "max_depth": 3}),
+        ("hist_gradient_boosting_classifier", {"max_iter": 2, "max_leaf_nodes": 8, "min_samples_leaf": 700}),
+        ("random_forest_classifier", {"n_estimators": 3, "bootstrap": False, "max_depth": 4}),
+    ],
+)
+def test_equal_rows_are_learned_as_one(spark, monkeypatch, name, params):
+    rows = spark.range(24_000).select(
+        (F.col("id") % 2).cast("int").alias("a"), (F.col("id") % 7).cast("int").alias("b"), (F.col("id") % 5).cast("int").alias("c")
+    )
+    df = rows.withColumn("y", ((F.col("a") * 3 + F.col("b") + F.col("c") * F.col("a")) % 4 > 1).cast("long")).cache()
+    seen, merge = [], fitting._merge_equal
+    monkeypatch.setattr(fitting, "_merge_equal", lambda *told: seen.append(merge(*told)) or seen[-1])
+    merged = fit_model(df, name, "classification", ["a", "b", "c"], "y", params)
+    assert seen[0].count() == 70 and seen[0].agg(F.sum("_w")).first()[0] == 24_000
+    monkeypatch.setattr(fitting, "_merge_equal", lambda *told: None)
+    plain = fit_model(df, name, "classification", ["a", "b", "c"], "y", params)
+    cells = df.distinct()
+    told = [[(r["prediction"], *[round(p, 9) for p in r["probability"]]) for r in m.transform(cells).orderBy("a", "b", "c").collect()] for m in (merged, plain)]
+    assert told[0] == told[1] and len({t[0] for t in told[0]}) == 2
+
+
+def test_rows_that_are_drawn_or_mostly_different_are_not_merged(cloud):
+    drawn = fitting.ESTIMATORS["random_forest_classifier"]
+    params = fitting.check_params("random_forest_classifier", "classification", {})
+    assert not fitting._takes_weights(drawn(params, fitting.Facts(9, 2, 1, 0.0)))
+    tree = fitting.ESTIMATORS["decision_tree_classifier"](fitting.check_params("decision_tree_classifier", "classification", {}), fitting.Facts(9, 2, 1, 0.0))
+    different = cloud.sparkSession.range(30_000).select("id")
+    assert fitting._merge_equal(different, tree, 30_000) is None
+
+
+def test_training_rows_of_a_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(session, "TRAINING_ROWS", 500)
+    equal = spark.range(0, 10_000, 1, 2).select(F.lit(1).alias("x"))
+    sizes = [r["n"] for r in session.spread_training(equal, 10_000).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 20 and max(sizes) <= 550

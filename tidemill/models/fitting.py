@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.ml import PipelineModel
+from pyspark.ml import classification as C
+from pyspark.ml import regression as R
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -18,9 +20,10 @@ from tidemill.functions.columns import col, require_columns
 from tidemill.models import adaboost, bayes, extra_trees, neighbours
 from tidemill.models.estimators import ESTIMATORS, NEEDS_LABEL_STD, SEED, Facts, alone
 from tidemill.models.registry import check_params
-from tidemill.session import spread_small, use_checkpoints
+from tidemill.session import spread_training, use_checkpoints, written
 
 MAX_CLASSES = 1_000
+MERGED = 10_000  # rows of which trees look at all for their cut points; of more they draw some
 
 
 @dataclass
@@ -156,7 +159,7 @@ def fit_model(
     if name.startswith("adaboost"):
         seed = SEED if full["random_state"] is None else full["random_state"]
         rows = df.select(*[col(f).cast("double").alias(f) for f in features], y.alias("_y"))
-        rows = spread_small(rows).persist()
+        rows = spread_training(rows, df.count()).persist()
         rounds, rate = full["n_estimators"], full["learning_rate"]
         try:
             if task == "classification":
@@ -171,7 +174,7 @@ def fit_model(
     facts = _facts(df, name, label, classes, features)
     if name.startswith("extra_trees"):
         rows = df.select(*[col(f).cast("double").alias(f) for f in features], y.alias("_y"))
-        rows, seed = spread_small(rows).persist(), SEED if full["random_state"] is None else full["random_state"]
+        rows, seed = spread_training(rows, facts.rows).persist(), SEED if full["random_state"] is None else full["random_state"]
         try:
             model.spark_model = extra_trees.fit_extra_trees(rows, features, full, facts, seed)
         finally:
@@ -180,7 +183,7 @@ def fit_model(
         return model
     estimator = ESTIMATORS[name](full, facts)
     model.notes = facts.notes
-    model.spark_model = _fit_spark(df, estimator, features, y)
+    model.spark_model = _fit_spark(df, estimator, features, y, facts.rows)
     return model
 
 
@@ -215,7 +218,37 @@ def _feature(df: DataFrame, name: str) -> Column:
     return col(name) if vector else col(name).cast("double").alias(name)
 
 
-def _fit_spark(df: DataFrame, estimator, features: Sequence[str], y: Column) -> PipelineModel:
+def _takes_weights(estimator) -> bool:
+    """Whether equal rows may be one row that weighs as many: trees that draw no rows."""
+    core = estimator.getClassifier() if estimator.hasParam("classifier") else estimator
+    if isinstance(core, (C.DecisionTreeClassifier, R.DecisionTreeRegressor)):
+        return True
+    if isinstance(core, (C.RandomForestClassifier, R.RandomForestRegressor)):
+        return not core.getBootstrap() and core.getSubsamplingRate() == 1
+    return isinstance(core, (C.GBTClassifier, R.GBTRegressor)) and core.getSubsamplingRate() == 1
+
+
+def _merge_equal(slim: DataFrame, estimator, rows: int) -> DataFrame | None:
+    """Different rows with their number ``_w``, where they are at most ``MERGED``; else None.
+
+    A least number of rows in a leaf becomes a least share of the weight."""
+    core = estimator.getClassifier() if estimator.hasParam("classifier") else estimator
+    if not _takes_weights(estimator) or any(isinstance(f.dataType, VectorUDT) for f in slim.schema.fields):
+        return None
+    least = core.getMinInstancesPerNode() if core.hasParam("minInstancesPerNode") else 1
+    if rows <= max(MERGED, 2 * least):
+        return None
+    if slim.agg(F.approx_count_distinct(F.struct(*slim.columns)).alias("n")).first()["n"] > 1.2 * MERGED:
+        return None
+    merged = written(slim.groupBy(*slim.columns).agg(F.count("*").cast("double").alias("_w")), "merged")
+    if merged.count() > MERGED:
+        return None
+    if least > 1:
+        core._set(minInstancesPerNode=1, minWeightFractionPerNode=(least - 0.5) / rows)
+    return merged.coalesce(1)  # bounded above
+
+
+def _fit_spark(df: DataFrame, estimator, features: Sequence[str], y: Column, count: int) -> PipelineModel:
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
     columns = {
         "featuresCol": "_features",
@@ -229,6 +262,11 @@ def _fit_spark(df: DataFrame, estimator, features: Sequence[str], y: Column) ->
     if estimator.hasParam("classifier"):  # one against the rest reads its parts' raw scores
         estimator.getClassifier().setRawPredictionCol("_raw")
     settings = {estimator.getParam(n): c for n, c in columns.items() if estimator.hasParam(n)}
-    slim = spread_small(df.select(*[_feature(df, f) for f in features], y.alias("_y")))
-    rows = assembler.transform(slim).select("_features", "_y")
+    slim = df.select(*[_feature(df, f) for f in features], y.alias("_y"))
+    merged = _merge_equal(slim, estimator, count)
+    if merged is None:
+        rows = assembler.transform(spread_training(slim, count)).select("_features", "_y")
+    else:
+        rows = assembler.transform(merged).select("_features", "_y", "_w")
+        settings[estimator.getParam("weightCol")] = "_w"
     return PipelineModel([assembler, alone(estimator.fit(rows, settings), df.sparkSession)])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 
+TRAINING_ROWS = 1_000_000
 _LOCAL: dict[str, str] = {}  # folders of local sessions that were given none
 
 
@@ -74,7 +75,19 @@ def spread_small(df: DataFrame) -> DataFrame:
         return df
     # by hash: dealing rows out in turn would first sort them, to be repeatable
     names = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
-    return df.repartition(cores, *[F.col("`" + n.replace("`", "``") + "`") for n in names])
+    return df.repartition(max(cores, 8 * size // split), *[F.col("`" + n.replace("`", "``") + "`") for n in names])
+
+
+def spread_training(df: DataFrame, rows: int) -> DataFrame:
+    """``spread_small`` for rows that a learner keeps in memory and reads in every round: a task
+    gets ``TRAINING_ROWS`` at most, however few files the rows lie in and however many are equal.
+
+    The learners keep some 150 bytes for a row, far more than its numbers take in a file.
+    """
+    parts = -(-rows // TRAINING_ROWS)
+    if df.isStreaming or parts <= df.sparkSession.sparkContext.defaultParallelism:
+        return spread_small(df)
+    return df.repartition(parts)  # in turn, as a hash would put equal rows into one task
 
 
 def use_checkpoints(spark: SparkSession) -> None:
