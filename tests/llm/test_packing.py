@@ -91,6 +91,30 @@ def test_words_give_the_ids_of_the_whole_text(texts):
     assert list(ids) == [i for e in expected for i in e]
 
 
+def test_words_that_differ_in_case_and_signs_are_coded_once(monkeypatch):
+    coder = tokens.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    coded, seen = coder.coded, []
+    monkeypatch.setattr(coder, "coded", lambda words: seen.extend(words) or coded(words))
+    text = "Zu\u00e4rnt zu\u00e4rnt. ZU\u00c4RNT!! zu\u00e4rnt, (zu\u00e4rnt)"
+    ids, _ = tokens.text_ids(coder, pa.array([text, "zu\u00e4rnt!! zu\u00e4rnt"]), 2)
+    assert list(ids) == [i for t in (text, "zu\u00e4rnt!! zu\u00e4rnt") for i in coder.tokenizer.encode(t, add_special_tokens=False).ids + [2]]
+    assert seen.count("zu\u00e4rnt") == 1 and len(seen) == len(set(seen)) <= 6
+
+
+def test_stems_and_signs_give_the_ids_of_every_letter_and_sign():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder = tokens.WordIds(path)
+    letters = [chr(c) for c in range(0x24F + 2) if chr(c).isalpha()] + ["J\u030c", "A\u0130", "\u03a3", "\uac00\u11a8"]
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()] + ["", "...", "'s", "|>", "<|endoftext|>", ".'re", "\u0301!"]
+    words = [f"s{x}T{y}" for x in letters for y in signs] + [f"{x}{y}s" for x in letters for y in signs]
+    ids, lengths = tokens.text_ids(coder, pa.array(words), 2)
+    plain = [one.ids + [2] for one in coder.tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert coder.parted and list(lengths) == list(map(len, plain)) and list(ids) == [i for p in plain for i in p]
+    other = tokens.WordIds.__new__(tokens.WordIds)
+    other.tokenizer = type(coder.tokenizer).from_str(coder.tokenizer.to_str().replace('"type":"Lowercase"', '"type":"NFKC"'))
+    assert not other._parted()
+
+
 def test_ids_are_put_in_place_in_little_memory():
     import tracemalloc
 

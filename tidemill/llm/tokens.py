@@ -8,6 +8,7 @@ value. Blocks start at a word boundary, so they are packed and unpacked side by
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,10 @@ TEXT_BYTES = 1 << 21  # text that is tokenized at a time and makes a segment
 SEGMENTS_PER_FILE = 16
 CACHED_WORDS = 400_000  # about 15 MB, and twice that while words are looked up
 MARK = "\x01"  # between words that are coded together
+# Letters that are one code point in any case and form, and signs after them.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+PARTS = f"^(?P<stem>[{LETTERS}]+)(?P<signs>[!-&(-/:;=?@\\[-`{{-~]*)$"
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 TOGETHER_WORDS = 4_096
 TOGETHER_IDS = 1 << 16  # words whose ids are put in place at a time
 TOGETHER = 512  # blocks that are packed or unpacked at a time: their arrays stay in the cache
@@ -156,15 +161,17 @@ class WordIds:
     """Ids of words, remembered. The tokenizer drops white space, so that a text's ids are
     those of its words one after the other; ASCII white space never joins two characters.
 
-    The first ``CACHED_WORDS`` different words stay (in Arrow, a few bytes more than their letters),
-    which in any natural text are nearly all that come; what is beyond is tokenized each time.
+    Where the tokenizer lowers letters and cuts signs off them, words are remembered as lowered
+    stems and signs: many words share them. The first ``CACHED_WORDS`` different ones stay (in Arrow,
+    a few bytes more than their letters), which in any natural text are nearly all that come; what is
+    beyond is tokenized each time.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self._mark()
+        self.mark, self.parted = self._mark(), self._parted()
         self.words = pa.array([], pa.string())
         self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
@@ -186,6 +193,21 @@ class WordIds:
         alone = len(parts[1]) == 1 and found == sum(parts, []) and parts[1][0] not in parts[0] + parts[2]
         return parts[1][0] if alone else None
 
+    def _parted(self) -> bool:
+        """Whether a word of letters and signs has the ids of its lowered letters and then those
+        of its signs: letters are lowered one by one, and runs of either are coded apart."""
+        told = json.loads(self.tokenizer.to_str())
+        normal, cut = ((told[k] or {}).get(names, []) for k, names in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        kinds = [n["type"] for n in normal]
+        blanks = all(n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in normal if n["type"] == "Replace")
+        split = [{k: c.get(k) for k in ("type", "pattern", "behavior", "invert")} for c in cut[:1]]
+        return (
+            set(kinds) <= {"NFC", "Replace", "Lowercase"} and "Lowercase" in kinds and blanks
+            and split == [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}]
+            and [(c["type"], c["add_prefix_space"], c["use_regex"]) for c in cut[1:]] == [("ByteLevel", False, False)]
+            and all(set(t["content"]) & set("<>") for t in told["added_tokens"])  # no stem or sign is one
+        )
+
     def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of the words and their ends, if the marks between them can be told apart."""
         if self.mark is None or any(MARK in w for w in words):
@@ -213,6 +235,22 @@ class WordIds:
     def slots(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, where they begin, and the place of each (different) word: its ids are
         ``ids[begin[place]:begin[place + 1]]``."""
+        if not self.parted:
+            return self._known(words)
+        parts = pc.extract_regex(words, PARTS)
+        whole = pc.is_null(parts)
+        stems = pc.if_else(whole, words, pc.utf8_lower(pc.struct_field(parts, "stem")))
+        signs = pc.fill_null(pc.struct_field(parts, "signs"), "")
+        both = pa.concat_arrays([stems, signs]).dictionary_encode()
+        flat, begin, place = self._known(both.dictionary)
+        pairs = place[both.indices.to_numpy().reshape(2, -1).T.reshape(-1)]  # a word's stem, then its signs
+        n = begin[pairs + 1] - begin[pairs]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = flat[np.repeat(begin[pairs] - ends[:-1], n) + np.arange(ends[-1])]
+        return flat, ends[::2], np.arange(len(words))
+
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``slots`` of words that are remembered as they are."""
         known = pc.index_in(words, value_set=self.words)
         new = words.filter(pc.is_null(known))
         place = pc.fill_null(known, 0).to_numpy(zero_copy_only=False).astype(np.int64)
