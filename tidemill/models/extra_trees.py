@@ -4,6 +4,8 @@ A draw takes ``CUTS`` points per feature, evenly at random between its least and
 value, and turns the features into the numbers of the intervals. A tree over those can
 cut nowhere else. Every tree has a draw of its own, up to ``DRAWS``; beyond that, trees share
 draws evenly and differ by the features that their nodes may use.
+
+Rows in the same intervals are counted (``cells``), if there are many rows and few intervals.
 """
 
 from __future__ import annotations
@@ -14,12 +16,15 @@ from typing import Any
 
 import numpy as np
 from pyspark.ml import PipelineModel
+from pyspark.ml import classification as C
+from pyspark.ml import regression as R
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import col
+from tidemill.models import cells
 from tidemill.models.estimators import Facts, alone, extra_forest
 
 CUTS = 15
@@ -50,18 +55,25 @@ def fit_extra_trees(
         cutter = Bucketizer(inputCols=list(features), outputCols=names, splitsArray=splits, handleInvalid="keep")
         assembler = VectorAssembler(inputCols=names, outputCol=f"_v{d}")
         forest = extra_forest(params, facts, trees, int(rng.integers(2**31)))
-        told = {"featuresCol": f"_v{d}", "labelCol": "_y", "predictionCol": f"_p{d}"}
-        if facts.classes:
-            told |= {"predictionCol": f"_c{d}", "probabilityCol": f"_p{d}", "rawPredictionCol": f"_r{d}"}
-        model = forest.fit(assembler.transform(cutter.transform(rows)).select(f"_v{d}", "_y"), {forest.getParam(k): v for k, v in told.items()})
-        stages += [cutter, assembler, alone(model, rows.sparkSession)]
+        told = cells.columns_of(d, f"_v{d}", facts.classes)
+        counted = None
+        if facts.rows > cells.CELLS and (trees == 1 or not params["bootstrap"]):
+            draw = (1.0, True, forest.getSeed()) if params["bootstrap"] else None
+            counted = cells.count_cells(rows, cutter, facts.classes, [draw])
+        if counted is None:
+            model = forest.fit(assembler.transform(cutter.transform(rows)).select(f"_v{d}", "_y"), {forest.getParam(k): v for k, v in told.items()})
+            stages += [cutter, assembler, alone(model, rows.sparkSession)]
+        else:
+            forest.setBootstrap(False)
+            stages += [cutter, assembler, cells.fit_cells(counted, 0, forest, assembler, facts.classes, told)]
     facts.notes[:] = list(dict.fromkeys(facts.notes))
     return PipelineModel(stages)
 
 
 def mean_prediction(model: PipelineModel, classes: int) -> Column:
     """Over all trees: the mean, or the mean probability of every class."""
-    forests = model.stages[2::3]
+    kinds = (C.RandomForestClassificationModel, R.RandomForestRegressionModel)
+    forests = [s for s in model.stages if isinstance(s, kinds)]
     weights = [f.getNumTrees for f in forests]
     total = float(sum(weights))
     if not classes:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import col, require_columns
-from tidemill.models import adaboost, bayes, extra_trees, neighbours
+from tidemill.models import adaboost, bayes, cells, extra_trees, neighbours
 from tidemill.models.estimators import ESTIMATORS, NEEDS_LABEL_STD, SEED, Facts, alone
 from tidemill.models.registry import check_params
 from tidemill.session import spread_training, use_checkpoints, written
@@ -56,7 +56,7 @@ class FittedModel:
         if self.name.startswith("knn"):
             return self._neighbours(df)
         scored = self.spark_model.transform(df)
-        if self.name.startswith("extra_trees"):
+        if self.name.startswith(("extra_trees", "bagging")) and self.spark_model.stages[-1].getPredictionCol() != "_prediction":
             told = extra_trees.mean_prediction(self.spark_model, len(self.classes or []))
             kept = [col(c) for c in df.columns]
             if self.task == "regression":
@@ -183,7 +183,12 @@ def fit_model(
         return model
     estimator = ESTIMATORS[name](full, facts)
     model.notes = facts.notes
-    model.spark_model = _fit_spark(df, estimator, features, y, facts.rows)
+    if name.startswith("bagging") and not any(isinstance(df.schema[f].dataType, VectorUDT) for f in features):
+        rows = df.select(*[col(f).cast("double").alias(f) for f in features], y.alias("_y"))
+        use_checkpoints(df.sparkSession)
+        model.spark_model = cells.fit_bags(rows, features, estimator, facts)
+    if model.spark_model is None:
+        model.spark_model = _fit_spark(df, estimator, features, y, facts.rows)
     return model
 
 
