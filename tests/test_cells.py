@@ -38,6 +38,14 @@ def test_cells_give_the_trees_of_all_rows(grid, monkeypatch, name):
     assert short == [pytest.approx(w, abs=1e-9) for w in whole]
 
 
+def test_fewer_cells_than_intervals(grid, monkeypatch):
+    monkeypatch.setattr(cells, "CELLS", 20_000)
+    params = {"n_estimators": 1, "bootstrap": False, "max_depth": 2, "max_features": None}
+    model = fit_model(grid, "extra_trees_regressor", "regression", ["a"], "z", params)
+    told = {r["a"]: r["prediction"] for r in model.transform(grid.select("a").distinct()).collect()}
+    assert told == pytest.approx({r["a"]: r["m"] for r in grid.groupBy("a").agg(F.mean("z").alias("m")).collect()})
+
+
 @pytest.mark.parametrize("name", ["bagging_classifier", "extra_trees_classifier", "bagging_regressor", "extra_trees_regressor"])
 def test_drawn_cells_are_near_drawn_rows(grid, monkeypatch, name):
     task, label = ("classification", "y") if name.endswith("classifier") else ("regression", "z")

@@ -63,8 +63,11 @@ def fit_cells(cells: DataFrame, t: int, forest, assembler: VectorAssembler, clas
     """The forest over the cells as draw ``t`` weighs them."""
     label = F.col("_y" if classes else f"_y{t}").alias("_y")
     some = assembler.transform(cells.where(F.col(f"_w{t}") > 0))
+    # trees want as many rows as a category has values; halves of a weight add up exactly
+    parts = 2 ** max(0, math.ceil(math.log2(FINEST / max(some.count(), 1))))
+    some = some.withColumn("_part", F.explode(F.sequence(F.lit(1), F.lit(parts))))
     settings = {forest.getParam(k): v for k, v in (told | {"weightCol": "_w"}).items()}
-    rows = some.select(told["featuresCol"], label, F.col(f"_w{t}").alias("_w"))
+    rows = some.select(told["featuresCol"], label, (F.col(f"_w{t}") / parts).alias("_w"))
     return alone(forest.fit(rows, settings | {forest.maxBins: FINEST}), cells.sparkSession)
 
 
