@@ -190,6 +190,24 @@ def test_equal_rows_are_learned_as_one(spark, monkeypatch, name, params):
     assert told[0] == told[1] and len({t[0] for t in told[0]}) == 2
 
 
+def test_equal_rows_of_support_vectors_are_light(spark, monkeypatch):
+    rows = spark.range(24_000).select("id", *[(F.col("id") % n).cast("int").alias(x) for x, n in zip("abc", (2, 7, 5))])
+    y = (F.col("a") * 3 + F.col("b") + F.col("c") > 6).cast("int").bitwiseXOR((F.col("id") % 11 == 0).cast("int"))
+    df = rows.withColumn("y", y.cast("long")).drop("id").cache()
+    seen, merge = [], fitting._merge_equal
+    monkeypatch.setattr(fitting, "LIGHT", 8_000)
+    monkeypatch.setattr(fitting, "_merge_equal", lambda *told: seen.append(merge(*told)) or seen[-1])
+    light = fit_model(df, "svm_classifier", "classification", ["a", "b", "c"], "y").spark_model.stages[-1]
+    told = seen[0].agg(F.count("*").alias("n"), F.sum("_w").alias("w"), F.max("_w").alias("most")).first()
+    assert told["n"] <= 8_000 + 140 and told["w"] == pytest.approx(24_000) and told["most"] <= 3
+    assert seen[0].groupBy("a", "b", "c", "_y").agg(F.round(F.sum("_w")).alias("n")).exceptAll(df.groupBy("a", "b", "c", "y").count()).isEmpty()
+    monkeypatch.setattr(fitting, "LIGHT", 24_000)  # as few rows as that are left as they are
+    plain = fit_model(df, "svm_classifier", "classification", ["a", "b", "c"], "y").spark_model.stages[-1]
+    assert seen[1] is None
+    assert list(light.coefficients) == pytest.approx(list(plain.coefficients), abs=1e-2)
+    assert light.intercept == pytest.approx(plain.intercept, abs=1e-2)
+
+
 def test_rows_that_are_drawn_or_mostly_different_are_not_merged(cloud):
     drawn = fitting.ESTIMATORS["random_forest_classifier"]
     params = fitting.check_params("random_forest_classifier", "classification", {})

@@ -24,6 +24,7 @@ from tidemill.session import spread_training, use_checkpoints, written
 
 MAX_CLASSES = 1_000
 MERGED = 10_000  # rows of which trees look at all for their cut points; of more they draw some
+LIGHT = 1_000_000  # rows; of so many, none weighs enough to move the deviations of features
 
 
 @dataclass
@@ -236,23 +237,37 @@ def _takes_weights(estimator) -> bool:
 def _merge_equal(slim: DataFrame, estimator, rows: int) -> DataFrame | None:
     """Different rows with their number ``_w``, where they are at most ``MERGED``; else None.
 
-    A least number of rows in a leaf becomes a least share of the weight."""
+    A least number of rows in a leaf becomes a least share of the weight. Support vectors get
+    ``LIGHT`` rows and a few more, see ``_split_weights``."""
     core = estimator.getClassifier() if estimator.hasParam("classifier") else estimator
-    if not _takes_weights(estimator) or any(isinstance(f.dataType, VectorUDT) for f in slim.schema.fields):
+    light = isinstance(core, C.LinearSVC)
+    if not (light or _takes_weights(estimator)) or any(isinstance(f.dataType, VectorUDT) for f in slim.schema.fields):
         return None
     least = core.getMinInstancesPerNode() if core.hasParam("minInstancesPerNode") else 1
-    if rows <= max(MERGED, 2 * least):
+    if rows <= (LIGHT if light else max(MERGED, 2 * least)):
         return None
     if slim.agg(F.approx_count_distinct(F.struct(*slim.columns)).alias("n")).first()["n"] > 1.2 * MERGED:
         return None
     merged = written(slim.groupBy(*slim.columns).agg(F.count("*").cast("double").alias("_w")), "merged")
     if merged.count() > MERGED:
         return None
+    if light:
+        return _split_weights(merged, rows / LIGHT)
     if least > 1:
         core._set(minInstancesPerNode=1, minWeightFractionPerNode=(least - 0.5) / rows)
     return merged.coalesce(1)  # bounded above
 
 
+def _split_weights(merged: DataFrame, most: float) -> DataFrame:
+    """The same weight in rows that weigh ``most`` at most each.
+
+    The solver scales features by deviations over W - sum(w * w) / W, and stops before it has
+    converged: a cell's whole weight in one row would lead it elsewhere, a millionth does not."""
+    parts = merged.withColumn("_n", F.ceil(F.col("_w") / F.lit(most))).withColumn("_w", F.col("_w") / F.col("_n"))
+    split = parts.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n")
+    return split.repartition(merged.sparkSession.sparkContext.defaultParallelism)
+
+
 def _fit_spark(df: DataFrame, estimator, features: Sequence[str], y: Column, count: int) -> PipelineModel:
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
     columns = {
