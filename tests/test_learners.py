@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill import session
+from tidemill.catalog import REGISTERED, models
+from tidemill.catalog.base import LINEITEM_KEY
 from tidemill.models import adaboost, extra_trees, fitting, neighbours
 from tidemill.models.fitting import FittedModel, fit_model
 
@@ -208,6 +210,15 @@ def test_equal_rows_of_support_vectors_are_light(spark, monkeypatch):
     assert light.intercept == pytest.approx(plain.intercept, abs=1e-2)
 
 
+def test_keys_do_not_stay_with_the_training_rows(spark, monkeypatch):
+    seen, fit = [], models.fit_model
+    monkeypatch.setattr(models, "fit_model", lambda df, *told: seen.append(df) or fit(df, *told))
+    for name in ("gradient_boosting_classifier", "hist_gradient_boosting_regressor"):
+        told = REGISTERED[name].run(spark, "/root/testdata/sf0.001")
+        assert {r["split"] for r in told.collect()} == {"train", "test"}
+    assert [len(df.columns) for df in seen] == [5, 5] and not any(set(df.columns) & set(LINEITEM_KEY) for df in seen)
+
+
 def test_rows_that_are_drawn_or_mostly_different_are_not_merged(cloud):
     drawn = fitting.ESTIMATORS["random_forest_classifier"]
     params = fitting.check_params("random_forest_classifier", "classification", {})

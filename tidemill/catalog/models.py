@@ -182,7 +182,8 @@ def _fit_and_score(spark, sf, name, task="classification", params=None):
         df = table(spark, sf, "lineitem").join(part, "l_partkey")
         df = df.select(*LINEITEM_KEY, *used, label)
     parted = split(df, label, 0.2, stratify=task == "classification", key=LINEITEM_KEY)
-    parted = spread_small(parted).persist()
+    # the keys have dealt the rows; kept, they would be half of what stays in memory and every task reads
+    parted = spread_small(parted).select(*used, label, "split").persist()
     model = fit_model(parted.where("split = 'train'"), name, task, used, label, params)
     scored = model.transform(parted)
     found = evaluate(scored, task, label, "prediction", "split")
