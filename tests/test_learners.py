@@ -233,3 +233,10 @@ def test_training_rows_of_a_task_are_bounded(spark, monkeypatch):
     equal = spark.range(0, 10_000, 1, 2).select(F.lit(1).alias("x"))
     sizes = [r["n"] for r in session.spread_training(equal, 10_000).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 20 and max(sizes) <= 550
+
+
+def test_equal_training_rows_are_bounded_with_fewer_parts_than_cores(spark, monkeypatch):
+    monkeypatch.setattr(session, "TRAINING_ROWS", 30_000)
+    equal = spark.range(0, 200_000, 1, 2).select((F.col("id") % 3).alias("x"), *[F.lit(i).alias(f"l{i}") for i in range(9)])
+    sizes = [r["n"] for r in session.spread_training(equal, 200_000).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) <= 30_000 and sum(sizes) == 200_000

@@ -84,9 +84,9 @@ def spread_training(df: DataFrame, rows: int) -> DataFrame:
 
     The learners keep some 150 bytes for a row, far more than its numbers take in a file.
     """
-    parts = -(-rows // TRAINING_ROWS)
-    if df.isStreaming or parts <= df.sparkSession.sparkContext.defaultParallelism:
+    if df.isStreaming or rows <= TRAINING_ROWS:
         return spread_small(df)
+    parts = max(-(-rows // TRAINING_ROWS), df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(parts)  # in turn, as a hash would put equal rows into one task
 
 
