@@ -240,3 +240,13 @@ def test_equal_training_rows_are_bounded_with_fewer_parts_than_cores(spark, monk
     equal = spark.range(0, 200_000, 1, 2).select((F.col("id") % 3).alias("x"), *[F.lit(i).alias(f"l{i}") for i in range(9)])
     sizes = [r["n"] for r in session.spread_training(equal, 200_000).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 8 and max(sizes) <= 30_000 and sum(sizes) == 200_000
+
+
+@pytest.mark.parametrize("name", ["decision_tree", "random_forest", "hist_gradient_boosting"])
+def test_cells_queries_learn_a_row_per_cell(spark, monkeypatch, name):
+    seen, merge = [], fitting._merge_equal
+    monkeypatch.setattr(fitting, "_merge_equal", lambda *told: seen.append(merge(*told)) or seen[-1])
+    monkeypatch.setattr(fitting, "spread_training", None)  # no row is held
+    told = REGISTERED[f"{name}_cells_classifier"].run(spark, "/root/testdata/sf0.01")
+    assert told.count() == seen[0].agg(F.sum("_w")).first()[0] == 60_000
+    assert seen[0].count() == 16 and seen[0].rdd.getNumPartitions() == 1
