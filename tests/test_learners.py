@@ -1,6 +1,9 @@
 """Hashed neighbours, drawn cut points, feature subsets and long boosting."""
 
+import os
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +82,59 @@ def test_copies_of_a_point_share_a_search(cloud):
     assert seen[0].count() == 2_001 and plain.count() == 3_000
 
 
+def on_disk(spark):
+    """Bytes of shuffles and of the shared folder."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    folders = [*(d.getAbsolutePath() for d in blocks), session.shared_dir(spark)]
+    return sum(os.path.getsize(os.path.join(at, f)) for d in folders for at, _, files in os.walk(d) for f in files)
+
+
+def vectors(spark, x, kind="array<float>"):
+    rows = pd.DataFrame({"k": range(len(x)), "v": list(x), "y": np.arange(len(x)) % 7 / 2})
+    return spark.createDataFrame(rows, f"k long, v {kind}, y double")
+
+
+def brute_force(x, k):
+    d = neighbours._distances(x, x, 2)
+    order = [np.lexsort((np.arange(len(x)), row))[:k] for row in d]
+    return [[(d[i, j], j, j % 7 / 2) for j in near] for i, near in enumerate(order)]
+
+
+def test_neighbours_of_many_blocks_take_disk_in_proportion_to_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 100)
+    monkeypatch.setattr(neighbours, "TRAIN_BLOCK", 100)
+    x = np.random.default_rng(8).normal(size=(2_000, 32)).astype(np.float32)
+    df, before = vectors(spark, x), on_disk(spark)
+    train = neighbours.train_table(df, ["v"], "y", ["k"], 3)
+    got = neighbours.nearest(df, ["v"], train, 3, 2, 0).select("k", "_near").collect()
+    assert on_disk(spark) - before < 8 * x.nbytes  # 20 blocks on either side
+    assert [[tuple(e) for e in r["_near"]] for r in sorted(got)] == brute_force(x, 3)
+
+
+@pytest.mark.parametrize("copied, held", [(200_000, 4_000_000), (0, 4_000_000), (200_000, 50)])
+def test_neighbours_of_blocks_with_copies(spark, monkeypatch, copied, held):
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 30)
+    monkeypatch.setattr(neighbours, "TRAIN_BLOCK", 20)
+    monkeypatch.setattr(neighbours, "COPIED", copied)
+    monkeypatch.setattr(neighbours, "HELD", held)
+    x = np.random.default_rng(9).normal(size=(400, 5)).astype(np.float32)
+    x[::2] = x[0]  # half of the rows are one point
+    x[301:341] = x[1:41]
+    x[0, 0], x[2, 0] = 0.0, -0.0
+    x[4::2, 0] = 0.0
+    # other kinds of numbers on both sides
+    train = neighbours.train_table(vectors(spark, x, "array<double>"), ["v"], "y", ["k"], 4)
+    got = neighbours.nearest(vectors(spark, x), ["v"], train, 4, 2, 0).select("k", "_near").collect()
+    assert [[tuple(e) for e in r["_near"]] for r in sorted(got)] == brute_force(x, 4)
+
+
+def test_a_missing_vector_is_an_error(spark, monkeypatch):
+    df = vectors(spark, np.ones((6, 3), np.float32)).withColumn("v", F.expr("if(k = 3, NULL, v)"))
+    train = neighbours.train_table(df.where("k < 3"), ["v"], "y", ["k"], 2)
+    with pytest.raises(Exception, match="features are missing"):
+        neighbours.nearest(df, ["v"], train, 2, 2, 0).collect()
+
+
 def test_approximate_classifier(cloud):
     model = fit_model(cloud, "knn_classifier", "classification", X, "y", {"approx": True, "n_neighbors": 3}, ["k"])
     assert model.transform(cloud).where("prediction = y").count() > 0.97 * 3_000
