@@ -111,6 +111,17 @@ def test_neighbours_of_many_blocks_take_disk_in_proportion_to_the_rows(spark, mo
     assert [[tuple(e) for e in r["_near"]] for r in sorted(got)] == brute_force(x, 3)
 
 
+def test_a_search_of_blocks_leaves_no_packed_table_and_no_setting(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df, before = vectors(spark, np.eye(6, 3)), spark.conf.get(name, None)
+    there = set(os.listdir(session.shared_dir(spark)))
+    train = neighbours.train_table(df, ["v"], "y", ["k"], 2)
+    assert neighbours.nearest(df, ["v"], train, 2, 2, 0).count() == 6
+    new = {f.rpartition("-")[0] for f in set(os.listdir(session.shared_dir(spark))) - there}
+    assert "found" in new and not new & {"points", "train"}
+    assert spark.conf.get(name, None) == before
+
+
 @pytest.mark.parametrize("copied, held", [(200_000, 4_000_000), (0, 4_000_000), (200_000, 50)])
 def test_neighbours_of_blocks_with_copies(spark, monkeypatch, copied, held):
     monkeypatch.setattr(neighbours, "QUERY_BLOCK", 30)

@@ -5,7 +5,8 @@ query rows is compared with them by numpy. Above it, both tables are written onc
 of bounded size, packed into bytes, and every task reads the training blocks past its own
 blocks of points and keeps the k best so far; a grouped merge keeps the k best of all. No
 pair of rows is ever written out, neither table is copied by a shuffle, and no block grows
-with the data, so that disk grows in proportion to the rows. For Euclidean distances, a
+with the data, so that disk grows in proportion to the rows. This search runs at once; its
+result is written, and the packed tables are deleted. For Euclidean distances, a
 matrix product with a bound of its error leaves only pairs that may be near. Copies of a point
 share a search; points are told apart by 128 bits of hashes, and results are joined by these.
 
@@ -28,13 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions.columns import col, is_number, type_of
-from tidemill.session import shared_path, spread_small, written
+from tidemill.session import remove, shared_path, small_batches, spread_small, written
 
 BROADCAST_VALUES = 20_000_000
 QUERY_BLOCK = 32_768
 TRAIN_BLOCK = 32_768
 BLOCK_BYTES = 1 << 20  # of the vectors of a packed block
 COPIED = 200_000  # points with copies that are told to all tasks
+BATCH_BYTES = 8 << 20  # of packed blocks that are sent to Python at a time
 HELD = 4_000_000  # neighbours that a task keeps before it hands them on
 CHUNK = 512
 TILE = 4_096  # training rows that are compared at a time
@@ -300,9 +302,23 @@ def _with_broadcast(queries: DataFrame, train: DataFrame, k: int, p: int) -> Dat
 
 def _with_blocks(points: DataFrame, train: DataFrame, k: int, p: int) -> DataFrame:
     """``_h, _i, _near`` of different points, every block of them against every block of ``train``."""
-    left = _packed(points, "_q", ["_h", "_i"], QUERY_BLOCK, "points")
-    right = _packed(train, "_tx", ["_tid", "_ty"], TRAIN_BLOCK, "train")
-    q_type, t_type = (_number(side, c) for side, c in ((points, "_q"), (train, "_tx")))
+    spark = points.sparkSession
+    paths = [shared_path(spark, name) for name in ("points", "train")]
+    try:
+        left = _packed(points, "_q", ["_h", "_i"], QUERY_BLOCK, paths[0])
+        right = _packed(train, "_tx", ["_tid", "_ty"], TRAIN_BLOCK, paths[1])
+        # a batch of blocks is in memory several times, in Spark and in Python
+        with small_batches(spark, BATCH_BYTES):
+            found = written(_met(left, right, _number(points, "_q"), _number(train, "_tx"), k, p), "found")
+    finally:
+        for path in paths:
+            remove(spark, path)
+    near = found.groupBy("_h", "_i").agg(F.flatten(F.collect_list("_near")).alias("_near"))
+    return near.withColumn("_near", F.slice(F.array_sort("_near"), 1, k))
+
+
+def _met(left: DataFrame, right: DataFrame, q_type: type, t_type: type, k: int, p: int) -> DataFrame:
+    """The k nearest of every point among the blocks that a task has read; several tasks may tell of a point."""
     # a task reads one part of the points and all blocks of train; where parts are few, several tasks share them
     parts, cores = left.rdd.getNumPartitions(), left.sparkSession.sparkContext.defaultParallelism
     tasks = parts * min(right.rdd.getNumPartitions(), math.ceil(2 * cores / max(parts, 1)))
@@ -330,8 +346,7 @@ def _with_blocks(points: DataFrame, train: DataFrame, k: int, p: int) -> DataFra
         yield from _told(held)
 
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("_h", "_i")), T.StructField("_near", _BEST)])
-    found = pairs.mapInArrow(meet, schema).groupBy("_h", "_i").agg(F.flatten(F.collect_list("_near")).alias("_near"))
-    return found.withColumn("_near", F.slice(F.array_sort("_near"), 1, k))
+    return pairs.mapInArrow(meet, schema)
 
 
 def _told(held: dict[bytes, tuple[bytes, bytes, list[_Found]]]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +364,7 @@ def _number(df: DataFrame, vector: str) -> type:
     return np.float32 if isinstance(df.schema[vector].dataType.elementType, T.FloatType) else np.float64
 
 
-def _packed(df: DataFrame, vector: str, others: Sequence[str], rows: int, name: str) -> DataFrame:
+def _packed(df: DataFrame, vector: str, others: Sequence[str], rows: int, path: str) -> DataFrame:
     """The table written as blocks of ``rows`` rows and ``BLOCK_BYTES`` at most; a block is one row,
     and each of its columns the bytes of the numbers of that column."""
     number = _number(df, vector)
@@ -391,7 +406,6 @@ def _packed(df: DataFrame, vector: str, others: Sequence[str], rows: int, name:
         return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in block], [vector, *others])
 
     schema = T.StructType([T.StructField(c, T.BinaryType()) for c in (vector, *others)])
-    path = shared_path(df.sparkSession, name)
     # small row groups: a reader holds one of them, and files are split between them
     small = {"parquet.block.row.count.limit": 2, "parquet.enable.dictionary": "false"}
     df.select(vector, *others).mapInArrow(pack, schema).write.options(**small).parquet(path)
